@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file, where the package that holds it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")

@@ -107,13 +107,13 @@ def _plan(key, group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken; one row per input row.
+    """doc_id, source, of (hash of the text), size, source_size, target, copies, taken; one row per input row.
 
     size: words of the text, 0 for a null or empty one, which is then taken 0 times. A null source is a source, last in
     order. Rows that share an id are separate documents; ties of the seeded hash are broken by id and row order, which
     changes no total. An empty table gives no rows.
     """
-    counted = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    counted = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     ranked_by = F.xxhash64(F.lit(seed), "doc_id")
     sized = saved(counted.withColumn("draw", ranked_by), "mix-sizes").withColumn("split", F.pmod("draw", F.lit(SPLITS)))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # joins and groups keep a null source
@@ -134,4 +134,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     # Only the one sub-bucket that a cut goes through is ranked.
     open_ = tagged.filter(~whole).withColumn("rank", F.when(F.row_number().over(Window.partitionBy("of", "size", "split").orderBy("draw", "doc_id")) <= F.col("of_split"), 0).otherwise(1))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("epochs") + F.when(F.col("rank") == 0, 1).otherwise(0))
-    return settled.unionByName(open_).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return settled.unionByName(open_).select("doc_id", "source", F.col("text_hash").alias("of"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def draw(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs`, all columns as they are, each as many times as the mix takes it; rows with 0 copies go.
+
+    Repeated rows (one doc_id, source and text) are drawn as one row with the sum of their copies.
+    """
+    copies = mix(docs, **how).groupBy("doc_id", "source", "of").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("of").alias("c_of"), "copies")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("text_hash", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    same = F.col("row.doc_id").eqNullSafe(F.col("c_id")) & F.col("row.source").eqNullSafe(F.col("c_source")) & (F.col("text_hash") == F.col("c_of"))
+    once = Window.partitionBy("c_id", "c_source", "c_of").orderBy("c_id")
+    drawn = rows.join(copies, same).withColumn("nth", F.row_number().over(once)).filter("nth = 1")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

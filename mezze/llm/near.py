@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mezze.llm.common import saved
@@ -201,3 +201,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, rows:
     component = F.coalesce("component", "node", "doc_id")
     out = named.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs`, all columns as they are, of one document of each group of near duplicates: its least doc_id.
+
+    Of rows that share that doc_id, the one with the least text stays. Rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(kept, F.col("row.doc_id") == F.col("kept_id"))
+    first = joined.withColumn("nth", F.row_number().over(Window.partitionBy("kept_id").orderBy("row.text"))).filter("nth = 1")
+    return first.select("row.*").unionByName(docs.filter("doc_id IS NULL"))

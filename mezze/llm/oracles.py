@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mezze.llm import linedup, quality
+from mezze.llm import licenses, linedup, quality
 
 _GAPS = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_GAPS}'), lambda x: x <> '')"
@@ -98,3 +98,60 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed, NOT failed AND dw <= {most_words}e0 AND dc <= {most_classes}e0 AS kept
 FROM v
 """
+
+
+_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '<', '\\l'), '>', '\\g')"
+CHAT = rf"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(6 + length({_ESCAPED.format('role')}) + 2 + length({_ESCAPED.format('text')}) + 8)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (
+  SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(8), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i * 5 + 1, 5))::INTEGER >> 15) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i * 5 + 1, 5))::INTEGER >> 10) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i * 5 + 1, 5))::INTEGER >> 5) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, i * 5 + 1, 5))::INTEGER & 31) + 1, 1)), '') AS payload_digest
+  FROM h
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM g)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def _canonical(text: str) -> str:
+    c = f"regexp_replace(regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.PUNCTUATION}', ' ', 'g'), '{licenses.GAPS}', '  ', 'g')"
+    c = f"' ' || {c} || ' '"
+    for other, usual in licenses.SPELLINGS:
+        c = f"replace({c}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({c}, ' +', ' ', 'g'), ' ')"
+
+
+def licenses_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.KNOWN)
+    return f"""
+WITH known(license, text) AS (VALUES {known}),
+catalog AS (SELECT sha256({_canonical('text')}) AS digest, min(license) AS license FROM known GROUP BY 1),
+d AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS c FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+found AS (
+  SELECT doc_id, list_sort(list(DISTINCT license)) AS line_licenses
+  FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines) JOIN catalog USING (digest) GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN c = '' THEN 0 ELSE length(c) - length(replace(c, ' ', '')) + 1 END::BIGINT AS n_words, sha256(c) AS canonical_sha256,
+  license, coalesce(line_licenses, []) AS line_licenses
+FROM d LEFT JOIN catalog ON sha256(c) = digest LEFT JOIN found USING (doc_id)
+"""

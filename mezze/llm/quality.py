@@ -65,10 +65,10 @@ def _fence(df: DataFrame) -> DataFrame:
 FEW = 16
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the base counts of every row, plus what the two histograms need. A null text has no words."""
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """_row (the whole row, if `carry`), doc_id and the base counts of every row, plus what the two histograms need. A null text has no words."""
     refs = references(docs.sparkSession)
-    docs = docs.select("doc_id", F.col("lang").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select((F.struct("*") if carry else F.struct("doc_id")).alias("_row"), "doc_id", F.col("lang").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
     joined = docs.join(refs, F.col("of") == refs["lang"], "left").drop("lang", "of")
     # One letter for each word: its place among the common words, or "-".
     place = lambda x: F.substring(F.lit("-" + LETTERS), F.array_position("ref_words", x) + 1, F.lit(1))
@@ -82,7 +82,7 @@ def measure(docs: DataFrame) -> DataFrame:
         )
 
     hashed = _fence(joined.select(
-        "doc_id", "ref_histogram", "ref_classes", F.length("text").alias("n_text"),
+        "_row", "doc_id", "ref_histogram", "ref_classes", F.length("text").alias("n_text"),
         bind(words(F.col("text")), of_words).alias("of_words"),
         bind(F.filter(F.split("text", "\n"), lambda x: F.length(F.ltrim(F.translate(x, "\t\x0b\f\r", ""))) > 0), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         _chars(SYMBOLS).cast("long").alias("n_symbols"), _chars("[A-Z]+").alias("upper"), _chars("[0-9]+").alias("digits"),
@@ -103,7 +103,7 @@ def measure(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform("at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - x, F.lit(3)))), F.lit(0), lambda n, x: n + x)
     counts = F.array(*[(F.length("places") - F.length(F.replace("places", F.lit(c), F.lit("")))).cast("double") for c in LETTERS + "-"])
     return placed.select(
-        "doc_id", "ref_histogram", "ref_classes", "n_text", "n_words", "word_chars", "n_symbols", "upper", "digits", "marks", "beyond",
+        "_row", "doc_id", "ref_histogram", "ref_classes", "n_text", "n_words", "word_chars", "n_symbols", "upper", "digits", "marks", "beyond",
         "n_dup_lines", covered.cast("long").alias("n_repeat_words"), counts.alias("histogram"),
     )
 
@@ -116,16 +116,25 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, mo
     `guard_chars` characters, or in a language without a reference (null too), has a null distance and passes that test.
     One row per input row; an empty or null text counts 0 everywhere and fails the base.
     """
-    m = measure(docs)
+    return _judged(docs, min_words, max_repeat_percent, most_words, most_classes, guard_words, guard_chars, False).drop("_row")
+
+
+def keep(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that `judge` keeps under the same limits."""
+    return _judged(docs, carry=True, **limits).filter("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200, carry: bool = False) -> DataFrame:
+    m = measure(docs, carry)
     named = ("upper", "beyond", "digits", "blank", "marks", "n_symbols")
     m = m.withColumn("blank", F.col("n_text") - F.col("word_chars"))
     rest = F.greatest(F.lit(0), F.col("n_text") - sum(F.col(c) for c in named))
     classes = F.array(*[c.cast("double") for c in (rest, *map(F.col, named))])
     m = m.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
         F.when((F.col("n_words") >= guard_words) & F.col("ref_histogram").isNotNull(), js_distance(_distribution(F.col("histogram")), F.col("ref_histogram"))).alias("word_distance"),
         F.when((F.col("n_text") >= guard_chars) & F.col("ref_classes").isNotNull(), js_distance(_distribution(classes), F.col("ref_classes"))).alias("class_distance"),
     )
     fits = (F.coalesce("word_distance", F.lit(0.0)) <= most_words) & (F.coalesce("class_distance", F.lit(0.0)) <= most_classes)
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "word_distance", "class_distance")
+    return m.select("_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "word_distance", "class_distance")

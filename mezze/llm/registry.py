@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezze.llm import linedup, mixing, near, oracles, quality
-from mezze.llm.common import table
+import corpus_pipeline
+from mezze.llm import bpe, chat, licenses, linedup, mixing, mpeg, near, oracles, quality, tokens, warc
+from mezze.llm.common import saved, table, vocabulary
 from mezze.session import shipped
 
 
@@ -17,22 +18,64 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mpeg.index_media(saved(mpeg.store_texts(table(spark, sf_dir, "documents")), "media"))
+    seeks = F.sha1(F.array_join("seek_offsets", ","))
+    feature = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("n_frames", "declared_frames", "n_samples", "sample_rate", "duration_us", "n_checked", "n_bad", "n_skipped")], F.concat(F.lit("seeks="), seeks))
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_formatted(chat.format_turns(chat.canonical_turns(chat.records_of(rows))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_line_dedup, op5_divergence, op8_minhash, op10_mix)}
+    operators = (op1_line_dedup, op2_mpeg_audio, op3_chat, op4_bpe, op5_divergence, op6_token_counts, op7_warc_revisits, op8_minhash, op9_licenses, op10_mix)
+    return {f.__name__: shipped(f) for f in operators} | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": oracles.LINES, "op5_divergence": oracles.quality_sql(), "op8_minhash": oracles.NEAR}
+    return {
+        "op1_line_dedup": oracles.LINES, "op3_chat": oracles.CHAT, "op5_divergence": oracles.quality_sql(), "op7_warc_revisits": oracles.WARC,
+        "op8_minhash": oracles.NEAR, "op9_licenses": oracles.licenses_sql(),
+    }
