@@ -10,6 +10,7 @@ sqrt(2 S) + 1 distinct sizes, whatever its number of documents.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,13 +52,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float =
 
 
 def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that the taken words come as near `budget` as can be found."""
+    """How many documents of each size to take so that the taken words come as near `budget` as can be found.
+
+    All but half of DP_WORDS of the budget is shared out in proportion to the counts; the rest is a bounded knapsack over
+    what is left of each size. A budget within that half is fitted as well as any choice of documents can.
+    """
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget <= 0 or total == 0:
         return [0] * len(sizes)
     if budget >= total:
         return list(counts)
-    take = [n * budget // total for n in counts]
+    shared = max(0, budget - DP_WORDS // 2)
+    take = [n * shared // total for n in counts]
     left = budget - sum(s * n for s, n in zip(sizes, take))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:  # long documents first, until the dynamic programme can reach
@@ -67,32 +73,31 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         if more > 0:
             take[i] += more
             left -= more * sizes[i]
-    reach, mask, steps = 1, (1 << (min(left, DP_WORDS) + 1)) - 1, []
+    # Bit w of `reach`: some choice has w words. by[w]: the step that first had it. Beyond the budget, one may come nearer.
+    most = 2 * left
+    reach, mask, steps, by = 1, (1 << (most + 1)) - 1, [], np.zeros(most + 1, np.int32)
     for i in reversed(order):  # short documents first: they fill the gaps
-        free = counts[i] - take[i]
-        if not sizes[i] or free <= 0 or sizes[i] > left:
+        free, part = counts[i] - take[i], 1
+        if not sizes[i] or free <= 0 or sizes[i] > most:
             continue
-        free, part = min(free, min(left, DP_WORDS) // sizes[i]), 1
+        free = min(free, most // sizes[i])
         while free > 0:  # binary splitting of the bounded count
             part = min(part, free)
-            after = (reach | reach << (part * sizes[i])) & mask
-            if after != reach:
-                steps.append((i, part, reach))
-                reach = after
+            new = (reach << part * sizes[i]) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(steps)
+                steps.append((i, part))
+                reach |= new
             free -= part
             part *= 2
-        if reach >> min(left, DP_WORDS) & 1:
+        if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * sizes[i]
-    # A document beyond the budget may come nearer than staying below it.
-    gap = left - (reach.bit_length() - 1)
-    over = [i for i in range(len(sizes)) if sizes[i] and take[i] < counts[i] and abs(sizes[i] - gap) < gap]
-    if over:
-        take[min(over, key=lambda i: abs(sizes[i] - gap))] += 1
+    at = min(np.flatnonzero(np.unpackbits(np.frombuffer(reach.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")).tolist(), key=lambda w: (abs(w - left), w))
+    while at:
+        i, part = steps[by[at]]
+        take[i] += part
+        at -= part * sizes[i]
     return take
 
 

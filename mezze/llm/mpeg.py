@@ -109,11 +109,43 @@ def _tags(body: bytes, version: int) -> dict[str, str]:
     return out
 
 
+def _chained(data: bytes, at: int, end: int) -> bool:
+    """Whether a whole frame starts at `at` and one of its kind, or the end, follows it."""
+    h = header(data[at : at + 4])
+    if not h or at + h[0] > end:
+        return False
+    n = header(data[at + h[0] : at + h[0] + 4])
+    return at + h[0] == end or bool(n) and n[2:4] == h[2:4]
+
+
+def _sound(data: bytes, at: int, h: tuple) -> bool | None:
+    """Whether the checksum of a Layer III frame is right; None if it has none."""
+    if not h[4] or h[3] != 3:
+        return None
+    return struct.unpack_from(">H", data, at + 4)[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h[5]])
+
+
+def _frame(data: bytes, at: int, end: int, synced: bool) -> tuple | None:
+    """The header at `at`, if a frame starts there: one in a chain, or, right after a frame, one with a right checksum or with
+    no other chain inside it."""
+    h = header(data[at : at + 4])
+    if not h or at + h[0] > end or not (synced or _chained(data, at, end)):
+        return None
+    if _chained(data, at, end) or _sound(data, at, h):
+        return h
+    inner = data.find(b"\xff", at + 1, at + h[0])
+    while inner >= 0:
+        if _chained(data, inner, end):
+            return None
+        inner = data.find(b"\xff", inner + 1, at + h[0])
+    return h
+
+
 def index(data: bytes) -> dict:
     """What the frames, tags and tables of `data` say, and the payload of the frames' ancillary bytes.
 
-    A header counts if another of its kind, or the end, follows at the place it names; otherwise the search goes on a byte
-    further. Data without frames has none: counts and duration are 0.
+    Where no frame starts, the search goes on at the next byte that may open one. Data without frames has none: counts and
+    duration are 0.
     """
     tags: dict[str, str] = {}
     at, end = 0, len(data)
@@ -127,9 +159,8 @@ def index(data: bytes) -> dict:
     offsets, bodies, samples, rate, checked, bad, skipped, declared = [], [], 0, 0, 0, 0, 0, None
     synced = False
     while at + 4 <= end:
-        h = header(data[at : at + 4])
-        follows = h and (at + h[0] == end or at + h[0] < end and (n := header(data[at + h[0] : at + h[0] + 4])) and n[2:4] == h[2:4])
-        if not h or at + h[0] > end or not (follows or synced):
+        h = _frame(data, at, end, synced)
+        if not h:
             step = data.find(b"\xff", at + 1, end)
             skipped += (step if step >= 0 else end) - at
             at, synced = (step if step >= 0 else end), False
@@ -139,10 +170,9 @@ def index(data: bytes) -> dict:
             flags, *_ = struct.unpack_from(">I", data, at + 8 + side)
             declared = struct.unpack_from(">I", data, at + 12 + side)[0] if flags & 1 else -1
         else:
-            body = at + 4 + 2 * protected
-            if protected and layer == 3:
-                checked += 1
-                bad += struct.unpack_from(">H", data, at + 4)[0] != crc16(data[at + 2 : at + 4] + data[body : body + side])
+            body, sound = at + 4 + 2 * protected, _sound(data, at, h)
+            checked += sound is not None
+            bad += sound is False
             offsets.append(at)
             bodies.append(data[body + side : at + size])
             samples += n

@@ -77,7 +77,8 @@ def frequent(docs: DataFrame, path: str, named: int = NAMED, most: int = TABLE)
                 if len(seen) > CACHE:
                     seen = Counter(dict(seen.most_common(CACHE // 4)))
         top = seen.most_common(named)
-        yield pd.DataFrame({"pre_token": [t for t, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"pre_token": [t for t, _ in top], "n": [n for _, n in top]})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(path)

@@ -109,6 +109,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     response = head["warc-type"] == "response"
                     digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if response else head["warc-payload-digest"].removeprefix("sha1:")
                     rows.append((page(head["warc-record-id"]), head["warc-type"], len(block) if response else None, digest, page(head.get("warc-refers-to")), head["warc-target-uri"], block.decode("utf-8") if response else None))
+                if not rows:
+                    continue
                 frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in HEADS.split(", ")])
                 yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
