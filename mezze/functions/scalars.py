@@ -24,18 +24,25 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def once(value: Column, body) -> Column:
+    """`body(value)`, with `value` evaluated once however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_price(text: Column, strict: bool = False) -> Column:
     """The first price in a text: thousands apart by dot, comma or space, one or two decimals; null unless above 0.
 
     Without `strict`, a number of more than three digits in a row is read by its first three: the established behaviour.
     """
-    raw = F.regexp_replace(found(text, STRICT_PRICE if strict else PRICE), r"\s", "")
-    last = lambda c: F.length(raw) - F.locate(c, F.reverse(raw))
-    comma, dot = F.when(F.locate(",", raw) > 0, last(",")).otherwise(-1), F.when(F.locate(".", raw) > 0, last(".")).otherwise(-1)
-    # The last separator is the decimal one; a further dot ends the number.
-    plain = F.when(comma > dot, F.regexp_replace(F.regexp_replace(raw, r"\.", ""), "^([0-9]*),", "$1.")).otherwise(F.regexp_replace(raw, ",", ""))
-    value = F.regexp_extract(plain, r"^([0-9]*(?:\.[0-9]*)?)", 1).try_cast("double")
-    return F.when(value > 0, value)
+
+    def number(raw: Column) -> Column:
+        place = lambda c: F.when(F.locate(c, raw) > 0, F.length(raw) - F.locate(c, F.reverse(raw))).otherwise(-1)
+        # The last separator is the decimal one; a further dot ends the number.
+        plain = F.when(place(",") > place("."), F.regexp_replace(F.regexp_replace(raw, r"\.", ""), "^([0-9]*),", "$1.")).otherwise(F.regexp_replace(raw, ",", ""))
+        return F.regexp_extract(plain, r"^([0-9]*(?:\.[0-9]*)?)", 1).try_cast("double")
+
+    value = once(F.regexp_replace(found(text, STRICT_PRICE if strict else PRICE), r"\s", ""), number)
+    return once(value, lambda v: F.when(v > 0, v))
 
 
 def detect_currency(text: Column, default: str | None = "TRY") -> Column:

@@ -57,7 +57,8 @@ def retained(events: DataFrame, completed_s: int = 3600, failed_s: int = 86400,
     """event_id, state of finished jobs that are still kept at the time of the last event: by age, and the newest `most`."""
     now = events.agg(F.max("ts").alias("now"))
     ended = events.filter(F.col("state").isin("completed", "failed"))
-    age = F.col("now").cast("double") - F.col("ts").cast("double")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    age = seconds("now") - seconds("ts")
     young = ended.join(F.broadcast(now)).filter(age <= F.when(F.col("state") == "completed", completed_s).otherwise(failed_s))
     newest = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("ts"), F.desc("event_id")))
     return young.withColumn("nth", newest).filter(F.col("nth") <= most).select("event_id", "state")
@@ -65,8 +66,7 @@ def retained(events: DataFrame, completed_s: int = 3600, failed_s: int = 86400,
 
 def static_only(events: DataFrame, seconds: int = 600) -> DataFrame:
     """event_id, static: whether the place failed in the `seconds` before the event, so that it is fetched without rendering."""
-    at = F.col("ts").cast("timestamp")
-    micros = F.unix_micros(at)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     before = Window.partitionBy("place_id").orderBy("us").rangeBetween(-seconds * 1_000_000, -1)
     marked = events.withColumn("us", micros).withColumn("failures", F.count(F.when(F.col("state").isin("failed", STICKY), 1)).over(before))
     return marked.select("event_id", (F.col("failures") > 0).alias("static"))

@@ -83,7 +83,8 @@ def section_links(pages: DataFrame, limit: int = 20) -> DataFrame:
     ranked = best.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("b.down", "b.nth", "url"))).alias("links"))
 
     def add(kept: Column, x: Column) -> Column:
-        inside = F.exists(kept, lambda k: (_path(x["url"]) != F.regexp_replace(_path(k["url"]), "/?$", "/")) & F.startswith(_path(x["url"]), F.regexp_replace(_path(k["url"]), "/?$", "/")))
+        folder = lambda k: F.concat(F.regexp_replace(_path(k["url"]), "/+$", ""), F.lit("/"))
+        inside = F.exists(kept, lambda k: (_path(x["url"]) != folder(k)) & F.startswith(_path(x["url"]), folder(k)))
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate("links", F.array().cast("array<struct<down:int,nth:int,url:string>>"), add)

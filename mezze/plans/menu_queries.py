@@ -75,10 +75,10 @@ QUERIES = {
         f"{_WITH}, {_RENAMED_SQL} " + _FIRST.format(columns=_COLUMNS, source="renamed", keys="venue_id, lower(trim(name, ' '))", order="category IN ('Öne Çıkanlar', ' popular '), ord"),
     ),
     "menu_title_hint": (
-        _hinted,
+        lambda s, d: _hinted(s, d).distinct(),
         f"""{_WITH}, r AS (SELECT ord, page, venue_id, CASE WHEN page % 4 = 0 THEN 'Menü' WHEN page % 4 = 1 THEN ' PRODUCTS' ELSE category END AS category FROM menu_rows),
 l AS (SELECT venue_id, page, min(category) AS lo, max(category) AS hi FROM r GROUP BY ALL)
-SELECT ord, CASE WHEN lo = hi AND page % 3 <> 0 AND page % 4 < 2 THEN 'Hint ' || page ELSE category END AS category FROM r JOIN l USING (venue_id, page)""",
+SELECT DISTINCT ord, CASE WHEN lo = hi AND page % 3 <> 0 AND page % 4 < 2 THEN 'Hint ' || page ELSE category END AS category FROM r JOIN l USING (venue_id, page)""",
     ),
     "menu_nested": (
         _nested,
@@ -92,5 +92,5 @@ SELECT venue_id, count(DISTINCT m.category) AS n_categories, count(*) AS n_items
         f"{_WITH}, t AS (SELECT DISTINCT image, regexp_replace(regexp_replace(regexp_replace(image, '([?&])w=[0-9]+', '\\1w=800'), '([?&])q=[0-9]+', '\\1q=90'), '/w_[0-9]+,h_[0-9]+/', '/w_800,h_800,q_90/') AS target_url FROM menu_rows WHERE image IS NOT NULL) SELECT *, 'img_' || md5(target_url) || '.webp' AS file_name FROM t",
     ),
     "image_stats": (_image_stats, f"{_WITH} SELECT count(DISTINCT image) AS images, count(DISTINCT image) AS files FROM menu_rows"),
-    "photo_match": (lambda s, d: ops.match_photos(menu_rows(s, d), _posts(s, d)), _photos_sql()),
+    "photo_match": (lambda s, d: ops.match_photos(menu_rows(s, d), _posts(s, d)).distinct(), _photos_sql()),
 }

@@ -89,7 +89,7 @@ def _details(s, d):
 
 def _geocoded(s, d):
     k = F.col("id").cast("long")
-    candidates = ops.geocode_candidates(F.col("address.formatted"), F.lit(""), F.when(k % 2 == 0, F.col("address.district")), F.col("address.city"))
+    candidates = ops.geocode_candidates(F.concat(F.col("address.formatted"), F.lit(" (St)")), F.lit(""), F.when(k % 2 == 0, F.col("address.district")), F.col("address.city"))
     p = venues(s, d).select(F.col("google_place_id").alias("place_id"), candidates.alias("candidates"))
     cities = table(s, d, "nation").select(F.col("n_name").alias("query"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(30.0).alias("lng"))
     exact = table(s, d, "nation").select(F.concat(F.lit("d2, "), F.col("n_name")).alias("query"), F.when(F.col("n_nationkey") % 2 == 0, 95.0).otherwise(41.0).alias("lat"), F.lit(29.0).alias("lng"))

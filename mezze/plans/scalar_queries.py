@@ -52,10 +52,10 @@ def _input(values) -> str:
 
 def _price_sql(x: str) -> str:
     raw = rf"regexp_replace(regexp_extract({x}, '{scalars.PRICE}', 1), '\s', '', 'g')"
-    last = lambda c: f"(CASE WHEN contains({raw}, '{c}') THEN length({raw}) - position('{c}' IN reverse({raw})) ELSE -1 END)"
-    plain = rf"CASE WHEN {last(',')} > {last('.')} THEN regexp_replace(replace({raw}, '.', ''), '^([0-9]*),', '\1.') ELSE replace({raw}, ',', '') END"
-    value = rf"try_cast(nullif(regexp_extract({plain}, '^([0-9]*(\.[0-9]*)?)', 1), '') AS DOUBLE)"
-    return f"CASE WHEN {value} > 0 THEN {value} END"
+    last = lambda c: f"(CASE WHEN contains(r, '{c}') THEN length(r) - position('{c}' IN reverse(r)) ELSE -1 END)"
+    plain = rf"CASE WHEN {last(',')} > {last('.')} THEN regexp_replace(replace(r, '.', ''), '^([0-9]*),', '\1.') ELSE replace(r, ',', '') END"
+    value = rf"list_transform([{raw}], lambda r: try_cast(nullif(regexp_extract({plain}, '^([0-9]*(\.[0-9]*)?)', 1), '') AS DOUBLE))"
+    return f"list_filter({value}, lambda v: v > 0)[1]"
 
 
 def _currency_sql(x: str, default: str) -> str:

@@ -72,13 +72,13 @@ def menu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
-        F.col("o_custkey").cast("string").alias("venue_id"), F.col("o_orderpriority").alias("category"), F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.col("o_custkey").cast("string").alias("venue_id"), F.col("o_orderpriority").alias("category"), F.col("l_orderkey").alias("page"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")).alias("ord"),
         F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("https://img.example/w_100,h_90/"), F.col("l_partkey").cast("string"), F.lit(".jpg?w=100&q=30"))).alias("image"),
     )
 
 
 MENU_ROWS = """menu_rows AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS venue_id, o_orderpriority AS category, l_orderkey AS page, l_orderkey * 10 + l_linenumber AS ord, p_name AS name, p_retailprice AS price,
+  SELECT CAST(o_custkey AS VARCHAR) AS venue_id, o_orderpriority AS category, l_orderkey AS page, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS ord, p_name AS name, p_retailprice AS price,
     CASE WHEN l_partkey % 3 = 0 THEN 'https://img.example/w_100,h_90/' || l_partkey || '.jpg?w=100&q=30' END AS image
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 )"""
