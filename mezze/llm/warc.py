@@ -19,8 +19,8 @@ from mezze.llm.common import saved, scratch_path
 
 #: Payloads under so many bytes are never made revisits.
 LEAST = 0
-#: Bytes of records that one archive file is meant to hold; a longer record has a file of its own task.
-FILE_BYTES = 8 << 20
+#: Bytes of payloads that one archive file is meant to hold; a task with more writes several.
+FILE_BYTES = 32 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Ends each record; Spark's writer puts it after every row.
 END = "\r\n\r\n"
@@ -70,14 +70,14 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes:
     """
     spark = pages.sparkSession
     decided = saved(resolve(pages, least), "warc-decided")
-    total = decided.agg(F.sum("payload_bytes")).first()[0] or 0
+    n, total = decided.agg(F.count("*"), F.sum("payload_bytes")).first()
+    records = max(1, file_bytes * n // max(1, total or 0))
     revisits = decided.filter("refers_to IS NOT NULL").select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "refers_to").distinct()
     html = F.coalesce("html", F.lit(""))
     headed = pages.select("page_id", "url", "html", base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     joined = headed.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
     record = _record(F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-    files = max(1, total // file_bytes + 1, spark.sparkContext.defaultParallelism)
-    joined.select(record.alias("value")).repartition(files).write.option("lineSep", END).option("compression", "gzip").text(path)
+    joined.select(record.alias("value")).write.option("maxRecordsPerFile", records).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
