@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mezze.llm.common import map_pandas
+
 #: Each layout: paths a record must have, those it may have, and its turns: (role, path) or (list, role path, text path).
 LAYOUTS = {
     "prompt": {"must": {"prompt", "response"}, "may": {"system"}, "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
@@ -92,9 +94,9 @@ def canonical_turns(records: DataFrame) -> DataFrame:
                     found.append(turns_of(json.loads(record)))
                 except (TypeError, ValueError):
                     found.append((None, []))
-            yield pd.DataFrame({"conv_id": batch["conv_id"].astype("Int64"), "layout": [n for n, _ in found], "turns": [[{"role": r, "text": t} for r, t in turns] for _, turns in found]})
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "layout": [n for n, _ in found], "turns": [[{"role": r, "text": t} for r, t in turns] for _, turns in found]})
 
-    return records.select("conv_id", "record").mapInPandas(run, f"conv_id long, layout string, turns array<{TURN}>")
+    return map_pandas(records.select("conv_id", "record"), "conv_id", run, f"conv_id long, layout string, turns array<{TURN}>")
 
 
 def escape(text: Column) -> Column:
@@ -145,9 +147,9 @@ def read_formatted(written: DataFrame) -> DataFrame:
         for batch in batches:
             turns = [[{"role": r, "text": t} for r, t in parse(f)] for f in batch["formatted"]]
             loss = [[_plain(f[s["start"] : s["end"]]) for s in spans] for f, spans in zip(batch["formatted"], batch["loss_spans"])]
-            yield pd.DataFrame({"conv_id": batch["conv_id"].astype("Int64"), "turns": turns, "loss_texts": loss, "formatted_chars": [len(f) for f in batch["formatted"]]})
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "turns": turns, "loss_texts": loss, "formatted_chars": [len(f) for f in batch["formatted"]]})
 
-    return written.select("conv_id", "formatted", "loss_spans").mapInPandas(run, f"conv_id long, turns array<{TURN}>, loss_texts array<string>, formatted_chars long")
+    return map_pandas(written.select("conv_id", "formatted", "loss_spans"), "conv_id", run, f"conv_id long, turns array<{TURN}>, loss_texts array<string>, formatted_chars long")
 
 
 def records_of(turns: DataFrame) -> DataFrame:

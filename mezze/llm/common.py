@@ -36,6 +36,12 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def map_pandas(rows: DataFrame, key: str, run, schema: str) -> DataFrame:
+    """mapInPandas whose long `key`, first in `schema`, goes through pandas as a string: next to nulls, a long would become a float."""
+    carried = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(run, schema.replace(f"{key} long", f"{key} string", 1))
+    return carried.withColumn(key, F.col(key).cast("long"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,6 +15,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mezze.llm.common import map_pandas
+
 # Fixed values of the format: kilobits a second by version (1, then 2 and 2.5) and layer, and samples a second.
 KBPS = {
     (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -197,7 +199,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media.append(write(padded, {"n_bytes": str(len(raw)), "payload_bytes": str(len(padded)), "payload_crc32": f"{zlib.crc32(padded):08x}"}))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "media": media})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, media binary")
+    return map_pandas(docs.select("doc_id", "text"), "doc_id", run, "doc_id long, media binary")
 
 
 INDEXED = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames int, declared_frames int, n_samples long, sample_rate int, duration_us long, seek_offsets array<long>, n_checked int, n_bad int, n_skipped long, tags map<string,string>"
@@ -224,4 +226,4 @@ def index_media(media: DataFrame) -> DataFrame:
             frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in INDEXED.split(", ")])
             yield frame.astype({"n_bytes": "Int64", "declared_frames": "Int32"})
 
-    return media.select("doc_id", "media").mapInPandas(run, INDEXED)
+    return map_pandas(media.select("doc_id", "media"), "doc_id", run, INDEXED)

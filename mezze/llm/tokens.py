@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mezze.llm.bpe import chunks
+from mezze.llm.common import map_pandas
 
 #: Pre-tokens in the broadcast table.
 TABLE = 20_000
@@ -113,4 +114,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 n_bytes += [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_pandas(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

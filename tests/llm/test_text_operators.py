@@ -124,6 +124,12 @@ def test_lines_on_many_sites_go_but_for_the_first(docs, empty, lg_k):
     assert linedup.remove_boilerplate(empty).count() == 0
 
 
+def test_large_ids_stay_next_to_nulls(spark):
+    rows = spark.createDataFrame([(2**60 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in mpeg.index_media(mpeg.store_texts(rows)).collect()} == {2**60 + 1, None}
+    assert {r["doc_id"] for r in tokens.count_tokens(rows, vocabulary("byte_bpe_50k.json")).collect()} == {2**60 + 1, None}
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 
