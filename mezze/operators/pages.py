@@ -180,6 +180,80 @@ def structured_profile(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(*[first(c) for c in ("name", "address", "phone", "lat", "lng")])
 
 
+# Fields of product objects in embedded JSON, in order of precedence.
+NAMES = ("name", "title", "productName", "label")
+OWNERS = ("name", "title", "categoryName", "category_name", "categoryTitle", "headline", "display_name", "label")
+PRICED = ("price", "unit_price", "price_after_discount", "priceObject")
+PRICES = ("price", "unit_price", "price_after_discount", "priceBeforeDiscount", "priceObject.price", "price.amount", "price.value", "price.price")
+PICTURED = ("fileUrl", "imageUrl", "image", "logoUrl", "photo", "avatar", "src")
+DESCRIBED = ("description", "desc", "short_description")
+MENU_KEYS = ("categories", "menuCategories", "menu")
+
+
+def _first(node, names, least: int, most: int) -> Column:
+    """The first of the string fields that says something, if its length is in bounds."""
+    said = F.coalesce(*[F.nullif(F.when(F.schema_of_variant(F.try_variant_get(node, f"$.{n}", "variant")) == "STRING", _text(node, f"$.{n}")), F.lit("")) for n in names])
+    return F.when(F.length(said).between(least, most), F.trim(F.regexp_replace(said, r"\s+", " ")))
+
+
+def _is_product(node) -> Column:
+    has = lambda names: F.coalesce(*[F.try_variant_get(node, f"$.{n}", "variant") for n in names]).isNotNull()
+    kind = (F.coalesce(_text(node, "$.type"), F.lit("")) == "product") | F.contains(F.lower(F.coalesce(_text(node, "$.__typename"), F.lit(""))), F.lit("product")) | has(("productId", "product_id"))
+    return _first(node, NAMES, 2, 150).isNotNull() & (has(PRICED) | has(PICTURED) | has(DESCRIBED) | kind)
+
+
+def embedded_menu(pages: DataFrame, depth: int = 12) -> DataFrame:
+    """page_id, category, ord, name, price, currency of products in a page's embedded JSON, whatever its shape.
+
+    Lists with products are looked for down to `depth`; a product's category is its own, else its list owner's title, else the
+    one above. State and captured payloads are read; other JSON only if there are none. One row for each category and name,
+    the first by place (fields in order of name).
+    """
+    script = lambda mark: F.regexp_extract_all("html", F.lit(rf"(?is)<script\b(?=[^>]*(?:{mark}))[^>]*>(.*?)</script>"), 1)
+    own, other = script("__NEXT_DATA__|captured"), F.filter(script("application/json"), lambda x: F.length(x) >= 50)
+    level = pages.select("page_id", F.posexplode(F.when(F.size(own) > 0, own).otherwise(other)).alias("b", "json"))
+    level = level.select("page_id", F.array("b").alias("at"), F.try_parse_json("json").alias("v"), F.lit("Menü").alias("title"), F.lit(False).alias("done")).filter("v IS NOT NULL")
+    node = lambda at, v, title, done: F.struct(at.alias("at"), v.alias("v"), title.alias("title"), F.lit(done).alias("done"))
+    members = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    deeper = lambda n: n["done"] | F.regexp_like(F.schema_of_variant(n["v"]), F.lit("^(OBJECT|ARRAY)"))
+    # One step down for each level: products that are found stay as they are, other objects and lists give what is in them.
+    for d in range(depth + 1):
+
+        def field(e: Column, k: Column) -> Column:
+            of = F.coalesce("owner", "title")
+            here = F.filter(F.transform(members(e["value"]), lambda x, i: node(F.concat("at", F.array(k, i)), x, of, True)), lambda n: _is_product(n["v"]))
+            named = F.lit(d > 1) | e["key"].isin(*MENU_KEYS)  # noqa: B023
+            return F.concat(here, F.array(node(F.concat("at", F.array(k)), e["value"], F.when(named, of).otherwise(F.col("title")), False)))
+
+        entries = F.coalesce(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+        listed = F.transform(members(F.col("v")), lambda x, i: node(F.concat("at", F.array(i)), x, F.col("title"), False))
+        below = F.filter(F.concat(F.flatten(F.transform(entries, field)), listed), deeper)
+        same = F.array(F.struct("at", "v", "title", "done"))
+        level = level.withColumn("owner", F.when(~F.col("done"), _first(F.col("v"), OWNERS, 2, 90))).select("page_id", F.inline(F.when(F.col("done"), same).otherwise(below)))
+    products = level.filter("done").select("page_id", "at", "title", F.col("v").alias("p"))
+    p = F.col("p")
+    number = lambda n: F.when(F.schema_of_variant(F.try_variant_get(p, f"$.{n}", "variant")) != "STRING", F.try_variant_get(p, f"$.{n}", "double"))
+    price = F.coalesce(*[number(n) for n in PRICES], scalars.parse_price(_text(p, "$.price")), F.lit(0.0))
+    category = F.coalesce(_first(p, ("categoryName", "category_name", "category"), 2, 90), F.col("title"))
+    rows = products.select("page_id", "at", category.alias("category"), _first(p, NAMES, 2, 150).alias("name"), price.alias("price"), F.coalesce(_text(p, "$.currency"), F.lit("TRY")).alias("currency"))
+    first = rows.groupBy("page_id", F.lower("category").alias("_c"), F.lower("name").alias("_n")).agg(F.min_by(F.struct("at", "category", "name", "price", "currency"), "at").alias("r")).select("page_id", "r.*")
+    return first.select("page_id", "category", (F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).alias("ord"), "name", "price", "currency")
+
+
+def page_menu(pages: DataFrame) -> DataFrame:
+    """Menu rows of each page with their method: structured data if it has any, else embedded JSON."""
+    one = structured_menu(pages).withColumn("method", F.lit("schema_org"))
+    two = embedded_menu(pages).withColumn("method", F.lit("next_data_json"))
+    return one.unionByName(two.join(one.select("page_id").distinct(), "page_id", "left_anti"))
+
+
+def menu_methods(menu: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, method, warnings: structured data only if no other method found anything; prices of 0 are told of."""
+    other = F.min(F.when(F.col("method") != "schema_org", F.col("method")))
+    unpriced = F.count(F.when(F.col("price") == 0, 1))
+    return menu.groupBy(key).agg(F.coalesce(other, F.lit("schema_org")).alias("method"), F.when(unpriced > 0, F.concat(unpriced.cast("string"), F.lit(" products without a price"))).alias("warnings"))
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
     """origin, prefix, allow: rules for every agent (`*`). Agent lines in a row share the group that follows them."""
     line = lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))

@@ -14,6 +14,8 @@ SITE = """<html lang=tr><head><title>Menü | Barış Pide</title><link rel="alte
 <a class=tile href=/118/><img src=a.jpg>Pideler</a><a class=tile href="/119/">Çorbalar</a><a class='tile' href='/120/'>İçecekler</a><a href="/118/487/" class="tile">Kıymalı Pide</a><a href="/iletisim">İletişim</a><a href="/en/118/">EN</a>
 <a href="tel:0312 111 22 33">Ara</a> info@barispide.com.tr <a href="https://instagram.com/barispide">ig</a><a href="https://www.instagram.com/share/x">s</a> <a href="https://menulux.com/barispide">QR</a> <a href="https://www.yemeksepeti.com/x">Sipariş</a>
 <p>Sodexo, VISA ve Nakit geçerlidir.</p><p>Pazartesi - Cuma: 09:00 - 22:00</p><p>Pazar 10.00–20.00</p><a href="https://yandex.com.tr/maps/?ll=32.759908,39.9128562&z=17">Yol</a></body></html>"""
+STATE = """<html><script id="__NEXT_DATA__" type="application/json">{"props": {"menu": {"title": "Ana Menü", "categories": [{"name": "Kahveler", "products": [{"name": "Latte", "price": 95.5, "image": "a.jpg"}, {"title": "Mocha", "unit_price": 105}, {"name": "latte", "price": 1}]},
+{"title": "Tatlılar", "items": [{"label": "Sütlaç", "price": "75,50 TL"}, {"name": "Kek", "price": {"amount": 60}, "categoryName": "Fırın"}, {"name": "x"}]}]}, "nav": [{"name": "Home"}, {"name": "About"}]}}</script></html>"""
 EMPTY = "<html><body><p>Nothing here</p></body></html>"
 _ROBOTS = [("http://a.example", "User-agent: x\nDisallow: /\n\nUser-agent: *\nUser-agent: y\nDisallow: /private # secret\nAllow: /private/open\nDisallow:\nUser-agent: z\nDisallow: /z"), ("http://b.example", ""), ("http://c.example", None)]
 _PATHS = ("http://a.example/private/x", "http://a.example/private/open/1", "http://a.example/z", "http://b.example/", "http://c.example/q", "http://d.example/any", "http://A.example/private?x=1")
@@ -23,6 +25,13 @@ def _written(s):
     return s.createDataFrame([(1, "https://barispide.com/", SITE), (2, "https://empty.example/", EMPTY), (3, "https://null.example/", None)], "page_id long, url string, html string")
 
 
+def _menus(s):
+    return _written(s).unionByName(s.createDataFrame([(4, "https://state.example/", STATE)], "page_id long, url string, html string"))
+
+
+_STATE_SQL = "SELECT 4::BIGINT AS page_id, category, name, price FROM (VALUES ('Kahveler', 'Latte', 95.5e0), ('Kahveler', 'Mocha', 105e0), ('Tatlılar', 'Sütlaç', 75.5e0), ('Fırın', 'Kek', 60e0)) t(category, name, price)"
+
+
 def _robots(s):
     return ops.robots_rules(s.createDataFrame(_ROBOTS, "origin string, body string"))
 
@@ -85,6 +94,12 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
         lambda s, d: ops.structured_menu(_written(s)).withColumn("ord", F.col("ord").cast("long")),
         "SELECT 1::BIGINT AS page_id, category, ord::BIGINT AS ord, name, price, 'TRY' AS currency FROM (VALUES ('Pide', 0, 'Kıymalı', 110.5e0), ('Pide', 1, 'Peynirli', 95e0), ('Özel', 2, 'Karışık', 0e0), ('Menü', 3, 'Ayran', 20e0)) t(category, ord, name, price)",
     ),
+    "app_json_menu": (lambda s, d: ops.embedded_menu(_menus(s)).select("page_id", "category", "name", "price"), _STATE_SQL),
+    "page_menu": (
+        lambda s, d: ops.page_menu(_menus(s)).select("page_id", "category", "name", "price", "method"),
+        f"SELECT *, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 1, category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
+    ),
+    "menu_method": (lambda s, d: ops.menu_methods(ops.page_menu(_menus(s))), "SELECT i::BIGINT AS page_id, method, warnings FROM (VALUES (1, 'schema_org', '1 products without a price'), (4, 'next_data_json', NULL)) t(i, method, warnings)"),
     "robots_parse": (lambda s, d: _robots(s), "SELECT 'http://a.example' AS origin, prefix, allow FROM (VALUES ('/private', false), ('/private/open', true)) t(prefix, allow)"),
     "robots_allowed": (lambda s, d: ops.robots_allowed(_paths(s), _robots(s)), "SELECT url, allowed FROM (VALUES " + ", ".join(f"('{u}', {str(i not in (0, 6)).lower()})" for i, u in enumerate(_PATHS)) + ") t(url, allowed)"),
     "robots_pages": (
