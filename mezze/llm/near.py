@@ -4,10 +4,10 @@ Two collections of M band hashes (of ROWS minhashes each) give M * M tables: the
 the first collection with the j-th of the second, so 2 * M * ROWS minhashes do the work of 2 * M * M * ROWS. A table key can
 only be shared where both halves are, so halves that nobody shares are dropped before tables are formed.
 
-Documents with one and the same shingle set are one node from the start. Within a table's bucket no list of all pairs is
-made: members are first held against the bucket's most central member, then against the central ones of its sub-buckets,
-and last, members of different clusters against each other where the counts of shared shingles still allow a link. Every
-link is confirmed on full sets. Links then meet in connected components.
+Documents with one and the same shingle set are one node from the start. No list of a bucket's pairs is made: members are
+held against the bucket's most central member, its pivot. In each pivot's group, members of different clusters are then
+held against those nearest to the pivot, and last against each other, where counts of shared shingles still allow a link.
+Every link is confirmed on full sets. Links then meet in connected components.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from mezze.llm.common import saved
 ROWS = 3
 #: Highest chance that two documents right at the threshold share no table.
 MISS = 1e-5
-#: Sub-buckets whose most central members are tried, in turn.
-PIVOT_SPLITS = (1, 16)
+#: Parts of a pivot's group; the member of each that is nearest to the pivot is tried as a pivot, too.
+SPLITS = 16
 
 
 def collections_for(threshold: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -118,12 +118,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with na, nb, the sizes of their sets, and i, that of the intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return both.filter(100 * F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
+    sizes = [F.size(s).cast("long").alias(n) for s, n in (("sa", "na"), ("sb", "nb"))]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *sizes, F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
+
+
+def _reached(i, na, nb, threshold: int):
+    return 100 * i >= threshold * (na + nb - i)
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int) -> DataFrame:
@@ -144,39 +148,51 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int)
     sets = saved(sets, "sets")
     token = sets.select("node", F.explode("s").alias("t"))
     rare = token.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    bound = pair_up.join(rare, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    members = bound.filter(100 * F.col("most") >= threshold * F.col("n"))
+    members = pair_up.join(rare, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    members = saved(members.drop("alone").filter(100 * F.col("most") >= threshold * F.col("n")), "members")
+
+    # Each bucket's most central member is its pivot; all others are held against it.
     keys = F.flatten(F.transform("x", lambda a: F.transform("y", lambda b: F.xxhash64(a, b))))
-    tables = saved(members.select("node", "n", "most", "central", F.explode(keys).alias("key")), "tables")
-    alive_keys = saved(tables.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
-    tables = saved(tables.join(alive_keys, "key"), "tables")
+    tables = members.select("node", "central", F.explode(keys).alias("key"))
+    pivots = saved(tables.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("top.node").alias("pivot")), "pivots")
+    stars = tables.select("node", "key").join(pivots, "key").filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    compared = saved(_compared(stars, sets), "compared")
+    found = compared.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    labels = components(found)
+
+    # Two that share a bucket share its pivot: what is left to compare stands in the pivots' groups, across clusters.
+    group = compared.select(F.col("b").alias("pivot"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("np"), "i")
+    group = group.join(members.select("node", "most"), "node")
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Groups with several clusters: each node with its own, and whether that is its group's largest."""
+        now = group.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        per_label = now.groupBy("pivot", "label").agg(F.count("*").alias("c"))
+        major = saved(per_label.groupBy("pivot").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("pivot", F.col("top.label").alias("major")), "majors")
+        return saved(now.join(major, "pivot").withColumn("minor", F.col("label") != F.col("major")).drop("major"), "mixed")
 
     def may_link(x: str, y: str):
-        """No shingle of its own is in an intersection: the largest possible one still has to reach the threshold."""
-        most = F.least(F.col(f"{x}.most"), F.col(f"{y}.most"))
-        return (100 + threshold) * most >= threshold * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-
-    labels = None
-    found = []
-    for splits in PIVOT_SPLITS:
-        now = tables if labels is None else tables.join(labels, "node", "left")
-        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        pivot = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(splits)).alias("split")).agg(F.max(F.struct("central", "node", "n", "most", "label")).alias("p")).select("key", "p.*")
-        pairs = now.alias("u").join(pivot.alias("p"), (F.col("u.key") == F.col("p.key")) & (F.col("u.label") != F.col("p.label")) & may_link("u", "p"))
-        pairs = pairs.select(F.greatest("u.node", "p.node").alias("a"), F.least("u.node", "p.node").alias("b"))
-        new = saved(_verified(pairs.distinct(), sets, threshold), "links")
-        found.append(new)
-        all_links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        labels = components(all_links).select("node", F.col("component").alias("label"))
-
-    now = tables.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = now.groupBy("key", "label").agg(F.count("*").alias("c"))
-    major = per_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("top.label").alias("major"))
-    rest = saved(now.join(saved(major, "majors"), "key"), "rest")
-    minor = rest.filter("label != major")
-    pairs = minor.alias("u").join(rest.alias("p"), (F.col("u.key") == F.col("p.key")) & (F.col("u.label") != F.col("p.label")) & may_link("u", "p") & ((F.col("p.label") == F.col("p.major")) | (F.col("u.node") < F.col("p.node"))))
+        """Clusters differ, and the largest possible intersection reaches the threshold: no shingle that a node has alone is
+        in it, no shingle of the pivot that either lacks, and at most the lesser number of shingles that the pivot lacks."""
+        c = lambda of, name: F.col(f"{of}.{name}")
+        by_pivot = F.least(c(x, "i"), c(y, "i")) + F.least(c(x, "n") - c(x, "i"), c(y, "n") - c(y, "i"))
+        most = F.least(c(x, "most"), c(y, "most"), by_pivot)
+        return (c(x, "label") != c(y, "label")) & _reached(most, c(x, "n"), c(y, "n"), threshold)
+
+    rest = mixed(labels)
+    split = F.pmod(F.xxhash64("node"), F.lit(SPLITS))
+    second = saved(rest.groupBy("pivot", split.alias("split")).agg(F.max(F.struct("i", "node", "n", "most", "label")).alias("p")).select("pivot", "p.*"), "second")
+    pairs = rest.alias("u").join(second.alias("p"), (F.col("u.pivot") == F.col("p.pivot")) & may_link("u", "p"))
     pairs = pairs.select(F.greatest("u.node", "p.node").alias("a"), F.least("u.node", "p.node").alias("b")).distinct()
-    return all_links.unionByName(_verified(pairs, sets, threshold))
+    more = _compared(pairs, sets)
+    found = saved(found.unionByName(more.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b")), "links")
+
+    # The rest: nodes outside of their group's largest cluster against the group, sets compared within the join.
+    rest = mixed(components(found)).join(sets, "node")
+    inner = F.size(F.array_intersect("u.s", "p.s"))
+    once = ~F.col("p.minor") | (F.col("u.node") < F.col("p.node"))
+    last = rest.filter("minor").alias("u").join(rest.alias("p"), (F.col("u.pivot") == F.col("p.pivot")) & once & may_link("u", "p") & _reached(inner, F.col("u.n"), F.col("p.n"), threshold))
+    return found.unionByName(last.select(F.greatest("u.node", "p.node").alias("a"), F.least("u.node", "p.node").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
