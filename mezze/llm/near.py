@@ -27,6 +27,8 @@ from mezze.llm.common import saved
 ROWS = 3
 #: Highest chance that two documents right at the threshold share no table.
 MISS = 1e-5
+#: Bits of the sieve for texts.
+SIEVE = 1 << 25
 #: Parts of a pivot's group; the member of each that is nearest to the pivot is tried as a pivot, too.
 SPLITS = 16
 
@@ -86,14 +88,30 @@ def signatures(docs: DataFrame, words: int, m: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, n, s: the shingle sets of documents; one for each node, of the row whose set it is."""
+    """node, s: the shingle sets of rows with node, same and text, where `same` is the hash of the set."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(text, words) for text in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "s": [s.view(np.int64) for s in sets]})
+            own = [i for i, (s, same) in enumerate(zip(sets, batch["same"])) if xxhash.xxh3_128_digest(s.tobytes()) == bytes(same)]
+            if own:
+                yield pd.DataFrame({"node": batch["node"].iloc[own].to_numpy(), "s": [sets[i].view(np.int64) for i in own]})
 
-    return docs.mapInPandas(make, "node long, same binary, s array<long>")
+    return docs.mapInPandas(make, "node long, s array<long>")
+
+
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose node may be among `wanted`: one bit for each hash of a node, so that most texts need no shuffle.
+
+    The bits are a table of at most SIEVE / 32768 rows of 4 KB, whatever the data. Rows let through in error go in the join
+    that follows.
+    """
+    bit = F.pmod(F.xxhash64("node"), F.lit(SIEVE))
+    bits = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit"))
+    return marked.join(F.broadcast(bits), "bucket").filter(F.pmod(F.floor(byte / F.pow(F.lit(2.0), place % 8)), F.lit(2)) == 1).select(rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,31 +150,36 @@ def _reached(i, na, nb, threshold: int):
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int) -> DataFrame:
     """a, b: links between nodes with different sets, enough of them to connect all that are linked."""
-    half = nodes.select("node", "n", F.posexplode("halves").alias("i", "h"))
+    half = nodes.select("node", F.posexplode("halves").alias("i", "h"))
     # Written down, like other sides of joins below that come from an aggregation: Spark splits a hot key only between two shuffles.
     shared = saved(half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     alive = half.join(shared, "h")
     first = F.col("i") < m
-    pair_up = alive.groupBy("node", "n").agg(
+    pair_up = alive.groupBy("node").agg(
         F.collect_list(F.when(first, F.col("h"))).alias("x"), F.collect_list(F.when(~first, F.col("h"))).alias("y"), F.sum("c").alias("central")
     ).filter((F.size("x") > 0) & (F.size("y") > 0))
-    pair_up = saved(pair_up, "halves")
+    pair_up = saved(pair_up.join(nodes.select("node", "same", "n"), "node"), "halves")
 
     # Sets of the nodes that are left, and how many shingles of each are shared with any other of them.
-    wanted = docs.select(F.col("doc_id").alias("node"), "text").join(pair_up.select("node"), "node", "left_semi")
-    sets = _sets(wanted, words).join(nodes.select("node", "same"), ["node", "same"], "left_semi").dropDuplicates(["node"]).select("node", "s")
+    texts = _sifted(docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("text_hash")), pair_up.select("node"))
+    wanted = texts.join(pair_up.select("node", "same"), "node").dropDuplicates(["node", "text_hash"])
+    sets = _sets(wanted.select("node", "same", "text"), words)
     sets = saved(sets, "sets")
     token = sets.select("node", F.explode("s").alias("t"))
     rare = token.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     members = pair_up.join(rare, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    members = saved(members.drop("alone").filter(100 * F.col("most") >= threshold * F.col("n")), "members")
+    members = saved(members.drop("alone", "same").filter(100 * F.col("most") >= threshold * F.col("n")), "members")
 
     # Each bucket's most central member is its pivot; all others are held against it.
     keys = F.flatten(F.transform("x", lambda a: F.transform("y", lambda b: F.xxhash64(a, b))))
     tables = members.select("node", "central", F.explode(keys).alias("key"))
     pivots = saved(tables.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("top.node").alias("pivot")), "pivots")
     stars = tables.select("node", "key").join(pivots, "key").filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    compared = saved(_compared(stars, sets), "compared")
+    of = lambda c: members.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("most").alias(f"most{c}"))
+    stars = saved(stars.join(of("a"), "a").join(of("b"), "b"), "stars")
+    could = _reached(F.least("mosta", "mostb"), F.col("na"), F.col("nb"), threshold)
+    compared = _compared(stars.filter(could).select("a", "b"), sets).unionByName(stars.filter(~could).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("i")))
+    compared = saved(compared, "compared")
     found = compared.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
     labels = components(found)
 
@@ -173,7 +196,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int)
 
     def may_link(x: str, y: str):
         """Clusters differ, and the largest possible intersection reaches the threshold: no shingle that a node has alone is
-        in it, no shingle of the pivot that either lacks, and at most the lesser number of shingles that the pivot lacks."""
+        in it, no shingle of the pivot that either lacks, and at most the lesser number of shingles that the pivot lacks.
+        A null i says that the pivot was too different to be compared."""
         c = lambda of, name: F.col(f"{of}.{name}")
         by_pivot = F.least(c(x, "i"), c(y, "i")) + F.least(c(x, "n") - c(x, "i"), c(y, "n") - c(y, "i"))
         most = F.least(c(x, "most"), c(y, "most"), by_pivot)
