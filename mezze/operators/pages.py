@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mezze.functions import scalars
+from mezze.operators import menus
 
 # Platforms, channels, means of payment, social sites and path words, in order of precedence.
 QR_PLATFORMS = [
@@ -107,6 +108,18 @@ def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", raw.alias("title"), scalars.clean_title(raw).alias("name"))
 
 
+def profile_names(pages: DataFrame) -> DataFrame:
+    """page_id, name: what structured data calls the site, else what its title says."""
+    named = structured_profile(pages).select("page_id", F.col("name").alias("own"))
+    return titles(pages).join(named, "page_id", "left").select("page_id", F.coalesce("own", "name").alias("name"))
+
+
+def image_storage(spark, path: str) -> DataFrame:
+    """files, bytes of stored images under a path or pattern; contents are not read."""
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return stored.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def _named(html: Column, rules: list[tuple[str, str]]) -> Column:
     """Names of the rules whose pattern the page holds, in order."""
     return F.filter(F.array(*[F.when(F.regexp_like(html, F.lit("(?iu)" + p)), n) for n, p in rules]), lambda n: n.isNotNull())
@@ -247,6 +260,15 @@ def page_menu(pages: DataFrame) -> DataFrame:
     return one.unionByName(two.join(one.select("page_id").distinct(), "page_id", "left_anti"))
 
 
+def menu_result(pages: DataFrame) -> DataFrame:
+    """venue_id (the host), category, name, price, method: pages' menus merged, promotions last."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"(?i)^https?://([^/?#:]+)", 1)), r"^www\.", "")
+    items = page_menu(pages).join(pages.select("page_id", host.alias("venue_id")), "page_id")
+    merged = menus.promotion_last(menus.merge_pages(items.withColumn("ord", F.struct("page_id", "ord")))).select("venue_id", "category", "name", "price", "method")
+    methods = menu_methods(merged, "venue_id").select("venue_id", F.col("method").alias("summary"))
+    return merged.drop("method").join(methods, "venue_id").withColumnRenamed("summary", "method")
+
+
 def menu_methods(menu: DataFrame, key: str = "page_id") -> DataFrame:
     """key, method, warnings: structured data only if no other method found anything; prices of 0 are told of."""
     other = F.min(F.when(F.col("method") != "schema_org", F.col("method")))

@@ -100,6 +100,16 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
         f"SELECT *, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 1, category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
     ),
     "menu_method": (lambda s, d: ops.menu_methods(ops.page_menu(_menus(s))), "SELECT i::BIGINT AS page_id, method, warnings FROM (VALUES (1, 'schema_org', '1 products without a price'), (4, 'next_data_json', NULL)) t(i, method, warnings)"),
+    "menu_result": (
+        lambda s, d: ops.menu_result(_menus(s)),
+        f"SELECT 'state.example' AS venue_id, category, name, price, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 'barispide.com', category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
+    ),
+    "qr_platform": (lambda s, d: ops.site_scan(_written(s)).select("page_id", "qr_platform"), "SELECT i::BIGINT AS page_id, q AS qr_platform FROM (VALUES (1, 'Menulux'), (2, NULL), (3, NULL)) t(i, q)"),
+    "ordering_channels": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("ordering_channels").alias("channel")), "SELECT 1::BIGINT AS page_id, 'Yemeksepeti' AS channel"),
+    "payment_methods": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("payment_methods").alias("method")), "SELECT 1::BIGINT AS page_id, unnest(['Sodexo', 'Visa', 'Nakit']) AS method"),
+    "profile_name": (lambda s, d: ops.profile_names(_menus(s)), "SELECT i::BIGINT AS page_id, name FROM (VALUES (1, 'Barış Pide'), (2, NULL), (3, NULL), (4, NULL)) t(i, name)"),
+    "profile_address": (lambda s, d: ops.structured_profile(_written(s)).select("page_id", "address"), "SELECT 1::BIGINT AS page_id, 'Cadde 1, Çankaya' AS address"),
+    "image_storage_stats": (lambda s, d: ops.image_storage(s, f"{d}/nation.parquet").select("files", (F.col("bytes") > 0).alias("filled")), "SELECT 1::BIGINT AS files, true AS filled"),
     "robots_parse": (lambda s, d: _robots(s), "SELECT 'http://a.example' AS origin, prefix, allow FROM (VALUES ('/private', false), ('/private/open', true)) t(prefix, allow)"),
     "robots_allowed": (lambda s, d: ops.robots_allowed(_paths(s), _robots(s)), "SELECT url, allowed FROM (VALUES " + ", ".join(f"('{u}', {str(i not in (0, 6)).lower()})" for i, u in enumerate(_PATHS)) + ") t(url, allowed)"),
     "robots_pages": (
