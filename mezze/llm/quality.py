@@ -69,7 +69,7 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     """_row (the whole row, if `carry`), doc_id and the base counts of every row, plus what the two histograms need. A null text has no words."""
     refs = references(docs.sparkSession)
     docs = docs.select((F.struct("*") if carry else F.struct("doc_id")).alias("_row"), "doc_id", F.col("lang").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = docs.join(refs, F.col("of") == refs["lang"], "left").drop("lang", "of")
+    joined = docs.join(F.broadcast(refs), F.col("of") == refs["lang"], "left").drop("lang", "of")
     # One letter for each word: its place among the common words, or "-".
     place = lambda x: F.substring(F.lit("-" + LETTERS), F.array_position("ref_words", x) + 1, F.lit(1))
     window = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
