@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +25,23 @@ KNOWN = [
 ]
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("authorisation", "authorization"), ("recognised", "recognized"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("judgement", "judgment"), ("favour", "favor"), ("behaviour", "behavior"), ("fulfil", "fulfill"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders")]
 COPYRIGHT_LINE = r"(?m)^[^\n\w]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-PUNCTUATION = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E“”‘’«»–—…]+"
-GAPS = r"[\x20\x09-\x0D]+"
+#: White space and punctuation between words.
+BETWEEN = r"\x20\x09-\x0D\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E“”‘’«»–—…"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without lines that open with a copyright mark, without punctuation, words in one spelling, one space between."""
-    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), PUNCTUATION, " "), GAPS, "  ")
-    spaced = F.concat(F.lit(" "), spaced, F.lit(" "))
+    spaced = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), f"[{BETWEEN}]+", "  ")
+    spaced = F.concat(F.lit("  "), spaced, F.lit("  "))
     for other, usual in SPELLINGS:
         spaced = F.replace(spaced, F.lit(" " + other.replace(" ", "  ") + " "), F.lit(" " + usual.replace(" ", "  ") + " "))
-    return F.trim(F.regexp_replace(spaced, " +", " "))
+    return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
+
+
+def first_words(known) -> list[str]:
+    """Words that a text may open with if it equals one of the catalog: theirs, and other spellings of theirs."""
+    opened = {m[0] for _, text in known if (m := re.search(f"[^{BETWEEN}]+", re.sub(COPYRIGHT_LINE, "", text.lower())))}
+    return sorted(opened | {other.split(" ")[0] for other, usual in SPELLINGS if usual.split(" ")[0] in opened})
 
 
 def catalog(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -54,8 +62,9 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     of = F.xxhash64(text)
     whole = docs.select("doc_id", of.alias("of"), canonical(text).alias("c")).select("doc_id", "of", F.when(F.col("c") == "", 0).otherwise(F.length("c") - F.length(F.replace("c", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"), F.sha2("c", 256).alias("canonical_sha256"))
-    longest = max(len(t) for _, t in known) * 4
-    lines = docs.select("doc_id", of.alias("of"), F.explode(F.split(text, "\n")).alias("line")).filter((F.length("line") > 0) & (F.length(F.trim("line")) <= longest))
+    lines = docs.select("doc_id", of.alias("of"), F.explode(F.split(text, "\n")).alias("line"))
+    # Only a line that opens as a known text does can equal it.
+    lines = lines.filter(F.regexp_extract(F.lower("line"), f"[^{BETWEEN}]+", 0).isin(first_words(known)))
     lines = lines.withColumn("digest", F.sha2(canonical(F.col("line")), 256)).join(digests, "digest").groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("license")).alias("line_licenses"))
     lines = lines.select(F.col("doc_id").alias("l_id"), F.col("of").alias("l_of"), "line_licenses")
     joined = whole.join(digests.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left").join(lines, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("of") == F.col("l_of")), "left")

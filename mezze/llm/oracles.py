@@ -132,11 +132,10 @@ FROM f
 
 
 def _canonical(text: str) -> str:
-    c = f"regexp_replace(regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.PUNCTUATION}', ' ', 'g'), '{licenses.GAPS}', '  ', 'g')"
-    c = f"' ' || {c} || ' '"
+    c = f"'  ' || regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[{licenses.BETWEEN}]+', '  ', 'g') || '  '"
     for other, usual in licenses.SPELLINGS:
         c = f"replace({c}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'), ' ')"
+    return f"trim(replace({c}, '  ', ' '), ' ')"
 
 
 def licenses_sql() -> str:
