@@ -22,7 +22,7 @@ _LINE = ("h1", "h2")
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
