@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mezze.llm.common import saved
+
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 10
 #: log2 of a sketch's registers; the estimate's standard error is 1.04 / sqrt(2 ** LG_K).
@@ -42,6 +44,8 @@ def spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Dat
     margin = ERRORS * 1.04 / math.sqrt(2**lg_k)
     sketched = lines.groupBy(*_LINE).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_id"))
     estimated = sketched.select(*_LINE, "first_id", F.hll_sketch_estimate("sketch").alias("n_sites")).filter(F.col("n_sites") >= math.floor(min_sites * (1 - margin)))
+    # Written down, here and below: Spark splits a line that is on a third of all pages only between two shuffles.
+    estimated = saved(estimated, "line-sites")
     far = F.col("n_sites") > math.ceil(min_sites * (1 + margin))
     near = estimated.filter(~far)
     sites = lines.join(near.select(*_LINE), [*_LINE], "left_semi").groupBy(*_LINE, "site").agg(F.min("doc_id").alias("first_id"))
@@ -58,7 +62,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     site of its own; a null doc_id is never the first. One row per input row, repeated rows alike.
     """
     lines = _lines(docs)
-    found = lines.join(spread(docs, min_sites, lg_k), [*_LINE])
+    found = lines.join(saved(spread(docs, min_sites, lg_k), "boilerplate"), [*_LINE])
     if keep_first:
         found = found.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = found.groupBy("doc_id", "of").agg(F.collect_set("at").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("of").alias("gone_of"), "gone")
