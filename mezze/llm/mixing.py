@@ -133,7 +133,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     reach = split_counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, ["of", "size"])
     cut = reach.select("of", "size", "split", "epochs", "target", "source_size", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before"))).alias("of_split"), F.col("n").alias("in_split"))
     cut = saved(cut, "mix-cuts")
-    tagged = sized.join(cut, ["of", "size", "split"])
+    # As many rows as there are sizes and sub-buckets: written small, but not to be broadcast.
+    tagged = sized.join(cut.hint("merge"), ["of", "size", "split"])
     whole = (F.col("of_split") == 0) | (F.col("of_split") == F.col("in_split"))
     settled = tagged.filter(whole).withColumn("rank", F.when(F.col("of_split") == 0, F.lit(1)).otherwise(F.lit(0)))
     # Only the one sub-bucket that a cut goes through is ranked.
