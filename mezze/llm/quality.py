@@ -1,12 +1,16 @@
 """Quality rules: base counts and the divergence of a document's histograms from its language's reference.
 
 DataFrame functions only. A document's character classes and common words are turned into two distributions; each is
-held against the language's reference by Jensen-Shannon distance (base 2, 0 to 1). Texts under the length guards are not
-judged by the distance whose guard they miss.
+held against the language's reference by Jensen-Shannon distance (base 2, 0 to 1). Common words are few, so a text without
+any is less than 0.45 from each reference; the common-word distance is therefore also held against that text's, and
+against the distances to the other languages. Texts under the length guards are not judged by the distance whose guard
+they miss.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,9 @@ CLASSES = {
     "es": (75.9, 2.3, 2.6, 0.5, 16.2, 2.4, 0.1),
 }
 SYMBOLS = "[#*$%&|<>]+"
-LETTERS = "abcdefghijklmnop"  # one for each of the 16 common words
+#: The common words of all languages, and a letter for each.
+VOCABULARY = sorted({w for common in COMMON.values() for w in common})
+LETTERS = [chr(ord("#") + i) for i in range(len(VOCABULARY))]
 
 
 def _chars(pattern: str) -> Column:
@@ -47,13 +53,21 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)))
 
 
-def references(spark) -> DataFrame:
-    """lang, ref_words, ref_histogram, ref_classes: a row for each language; words beyond the common ones are the last share."""
-    rows = []
-    for lang, common in COMMON.items():
-        shares = [v / 100 for v in common.values()]
-        rows.append((lang, list(common), [*shares, 1 - sum(shares)], [v / sum(CLASSES[lang]) for v in CLASSES[lang]]))
-    return spark.createDataFrame(rows, "lang string, ref_words array<string>, ref_histogram array<double>, ref_classes array<double>")
+def _reference(lang: str) -> tuple[list[float], list[float]]:
+    """Shares of common words, words beyond them as the last share, and of character classes."""
+    shares = [v / 100 for v in COMMON[lang].values()]
+    return [*shares, 1 - sum(shares)], [v / sum(CLASSES[lang]) for v in CLASSES[lang]]
+
+
+def _without(lang: str) -> float:
+    """The common-word distance of a text that has none of the language's common words."""
+    shares = _reference(lang)[0]
+    rest = shares[-1]
+    return math.sqrt((sum(shares[:-1]) + math.log2(2 / (1 + rest)) + rest * math.log2(2 * rest / (1 + rest))) / 2)
+
+
+def _literals(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def _fence(df: DataFrame) -> DataFrame:
@@ -66,12 +80,13 @@ FEW = 16
 
 
 def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """_row (the whole row, if `carry`), doc_id and the base counts of every row, plus what the two histograms need. A null text has no words."""
-    refs = references(docs.sparkSession)
+    """_row (the whole row, if `carry`), doc_id and the base counts of every row, plus what the histograms need: `of` is the language, `common` counts VOCABULARY. A null text has no words."""
     docs = docs.select((F.struct("*") if carry else F.struct("doc_id")).alias("_row"), "doc_id", F.col("lang").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = docs.join(F.broadcast(refs), F.col("of") == refs["lang"], "left").drop("lang", "of")
-    # One letter for each word: its place among the common words, or "-".
-    place = lambda x: F.substring(F.lit("-" + LETTERS), F.array_position("ref_words", x) + 1, F.lit(1))
+    # One letter for each common word, none for others; few words have the length of one.
+    lengths = range(max(len(w.encode()) for w in VOCABULARY) + 1)
+    sized = [[(w, c) for w, c in zip(VOCABULARY, LETTERS) if len(w.encode()) == n] for n in lengths]
+    by_length = lambda k: F.array(*[_literals(x[k] for x in same).cast("array<string>") for same in sized])
+    place = lambda x: F.get(F.get(by_length(1), F.octet_length(x)), (F.array_position(F.get(by_length(0), F.octet_length(x)), x) - 1).cast("int"))
     window = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
     def of_words(w: Column) -> Column:
@@ -81,13 +96,13 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
             F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: window(w, i)).alias("h"),
         )
 
-    hashed = _fence(joined.select(
-        "_row", "doc_id", "ref_histogram", "ref_classes", F.length("text").alias("n_text"),
+    hashed = _fence(docs.select(
+        "_row", "doc_id", "of", F.length("text").alias("n_text"),
         bind(words(F.col("text")), of_words).alias("of_words"),
         bind(F.filter(F.split("text", "\n"), lambda x: F.length(F.ltrim(F.translate(x, "\t\x0b\f\r", ""))) > 0), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         _chars(SYMBOLS).cast("long").alias("n_symbols"), _chars("[A-Z]+").alias("upper"), _chars("[0-9]+").alias("digits"),
         _chars(r"[.,;:!?'\"()-]+").alias("marks"), (F.octet_length("text") - F.length("text")).alias("beyond"),
-        F.when(F.col("ref_words").isNotNull(), F.array_join(F.transform(words(F.lower("text")), place), "")).alias("places"),
+        F.array_join(F.transform(words(F.lower("text")), place), "").alias("places"),
     )).select("*", "of_words.*").drop("of_words")
     ordered = _fence(hashed.select("*", F.sort_array("h").alias("s")))
     same = lambda a, b: F.coalesce(F.get("s", a) == F.get("s", b), F.lit(False))
@@ -101,22 +116,24 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     at = F.when(F.size("again") == 0, F.array().cast("array<int>")).when(F.size("again") <= FEW, looked_up).otherwise(neighbours)
     placed = _fence(twice.select("*", at.alias("at")).drop("h", "again"))
     covered = F.aggregate(F.transform("at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - x, F.lit(3)))), F.lit(0), lambda n, x: n + x)
-    counts = F.array(*[(F.length("places") - F.length(F.replace("places", F.lit(c), F.lit("")))).cast("double") for c in LETTERS + "-"])
+    counts = F.array(*[(F.length("places") - F.length(F.replace("places", F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
     return placed.select(
-        "_row", "doc_id", "ref_histogram", "ref_classes", "n_text", "n_words", "word_chars", "n_symbols", "upper", "digits", "marks", "beyond",
-        "n_dup_lines", covered.cast("long").alias("n_repeat_words"), counts.alias("histogram"),
+        "_row", "doc_id", "of", "n_text", "n_words", "word_chars", "n_symbols", "upper", "digits", "marks", "beyond",
+        "n_dup_lines", covered.cast("long").alias("n_repeat_words"), counts.alias("common"),
     )
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200, most_share: float = 0.85, most_nearer: float = 0.15) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, word_distance, class_distance.
 
     Base: too few words, or too many of them in repeated 3-word windows. Verdict: the common-word distance is at most
-    `most_words` and the character-class distance at most `most_classes`. A text under `guard_words` words or
-    `guard_chars` characters, or in a language without a reference (null too), has a null distance and passes that test.
+    `most_words` and the character-class distance at most `most_classes`. Besides, the common-word distance as a share of
+    that of a text without common words is at most `most_share`, and no other language's share is more than `most_nearer`
+    below it, which leaves room for a passage in another language. A language without a reference (null too) is judged
+    by the nearest one. A text under `guard_words` words or `guard_chars` characters has a null distance and passes that test.
     One row per input row; an empty or null text counts 0 everywhere and fails the base.
     """
-    return _judged(docs, min_words, max_repeat_percent, most_words, most_classes, guard_words, guard_chars, False).drop("_row")
+    return _judged(docs, min_words, max_repeat_percent, most_words, most_classes, guard_words, guard_chars, most_share, most_nearer).drop("_row")
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
@@ -124,17 +141,26 @@ def keep(docs: DataFrame, **limits) -> DataFrame:
     return _judged(docs, carry=True, **limits).filter("kept").select("_row.*")
 
 
-def _judged(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200, carry: bool = False) -> DataFrame:
+def _judged(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200, most_share: float = 0.85, most_nearer: float = 0.15, carry: bool = False) -> DataFrame:
     m = measure(docs, carry)
     named = ("upper", "beyond", "digits", "blank", "marks", "n_symbols")
     m = m.withColumn("blank", F.col("n_text") - F.col("word_chars"))
     rest = F.greatest(F.lit(0), F.col("n_text") - sum(F.col(c) for c in named))
     classes = F.array(*[c.cast("double") for c in (rest, *map(F.col, named))])
+    count = lambda w: F.get("common", F.lit(VOCABULARY.index(w)))
+    histogram = lambda common: F.array(*map(count, common), F.col("n_words") - sum(map(count, common)))
+    word_distances = F.array(*[js_distance(_distribution(histogram(common)), _literals(_reference(lang)[0])) for lang, common in COMMON.items()])
+    class_distances = F.array(*[js_distance(_distribution(F.col("classes")), _literals(_reference(lang)[1])) for lang in COMMON])
+    m = _fence(_fence(m.withColumn("classes", classes)).select("*", word_distances.alias("by_words"), class_distances.alias("by_classes")))
+    m = _fence(m.select("*", F.zip_with("by_words", _literals(map(_without, COMMON)), lambda d, most: d / most).alias("shares"), (F.array_position(_literals(COMMON), F.col("of")) - 1).cast("int").alias("at")))
+    nearest = F.array_min("shares")
+    at = F.coalesce(F.when(F.col("at") >= 0, F.col("at")), (F.array_position("shares", nearest) - 1).cast("int"))
     m = m.select(
         "_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
-        F.when((F.col("n_words") >= guard_words) & F.col("ref_histogram").isNotNull(), js_distance(_distribution(F.col("histogram")), F.col("ref_histogram"))).alias("word_distance"),
-        F.when((F.col("n_text") >= guard_chars) & F.col("ref_classes").isNotNull(), js_distance(_distribution(classes), F.col("ref_classes"))).alias("class_distance"),
+        F.when(F.col("n_words") >= guard_words, F.get("by_words", at)).alias("word_distance"),
+        F.when(F.col("n_text") >= guard_chars, F.coalesce(F.get("by_classes", "at"), F.array_min("by_classes"))).alias("class_distance"),
+        ((F.col("n_words") < guard_words) | ((F.get("shares", at) <= most_share) & (F.get("shares", at) - nearest <= most_nearer))).alias("own_words"),
     )
-    fits = (F.coalesce("word_distance", F.lit(0.0)) <= most_words) & (F.coalesce("class_distance", F.lit(0.0)) <= most_classes)
+    fits = F.col("own_words") & (F.coalesce("word_distance", F.lit(0.0)) <= most_words) & (F.coalesce("class_distance", F.lit(0.0)) <= most_classes)
     return m.select("_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "word_distance", "class_distance")

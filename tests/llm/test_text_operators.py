@@ -94,6 +94,23 @@ def test_quality_base_and_verdict(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_judges_words(spark):
+    # Right language, wrong language, invented words; a language without a reference is judged by the nearest one.
+    text = {
+        "en": "The house of the old farmer stands near a quiet river and most people walk to it in the morning; children play beside small gardens, while dogs sleep under trees that nobody planted. ",
+        "fr": "Le matin, les gens du village passent devant la maison de pierre et saluent une vieille fermière qui prépare le pain pour des voisins. Son jardin est petit, mais les enfants y jouent souvent, car la rivière coule au fond et un grand arbre donne de l’ombre dans cette chaleur que chacun redoute en juillet. ",
+        "de": "Das Haus der alten Bäuerin steht in der Nähe von einem Fluss und die Leute gehen morgens zu ihr; Kinder spielen mit Hunden auf den kleinen Wiesen, während die Müller für sich schlafen. ",
+        "es": "La casa de la vieja señora está cerca del río y los vecinos caminan en la mañana; unos niños juegan en el jardín, mientras que sus perros duermen por las calles de un barrio pequeño. ",
+    }
+    invented = " ".join(f"{a}{b}" for a in ("kel", "min", "ste", "dar", "vos", "tán", "pul", "ber") for b in ("or", "av", "upo", "ilt", "em", "ig.", "Esk", "ét"))
+    # Windows of three words repeat in these texts, which is not what is tested here.
+    rows = [(10 * i + j, text[said] * 4, lang) for i, said in enumerate(text) for j, lang in enumerate([*text, None, "xx"])]
+    rows += [(100 + j, invented, lang) for j, lang in enumerate([*text, None, "xx"])]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_repeat_percent=100)
+    kept = {r["doc_id"] for r in judged.collect() if r["kept"]}
+    assert kept == {10 * i + j for i in range(4) for j in (i, 4, 5)}
+
+
 def test_js_distance_is_a_distance(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))
     r = spark.range(1).select(quality.js_distance(a, a).alias("same"), quality.js_distance(a, b).alias("apart")).first()
