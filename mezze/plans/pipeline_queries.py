@@ -117,8 +117,7 @@ SELECT id, concat_ws(',', id, google_place_id, name, primary_type, coalesce({_NU
 
 
 def _fan(s, d):
-    k = F.col("o_orderkey")
-    requests = table(s, d, "orders").filter(k % 10 == 0).select(k.alias("request_id"))
+    requests = table(s, d, "orders").select(F.col("o_orderkey").alias("request_id"))
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.concat(F.lit("gm:aps/"), (F.col("l_partkey") % 50).cast("string")).alias("google_place_id"))
     return jobs.fan_out(requests, lines)
 
