@@ -171,6 +171,8 @@ def index(data: bytes) -> dict:
         if not offsets and declared is None and data[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
             flags, *_ = struct.unpack_from(">I", data, at + 8 + side)
             declared = struct.unpack_from(">I", data, at + 12 + side)[0] if flags & 1 else -1
+        elif not offsets and declared is None and size >= 54 and data[at + 36 : at + 40] == b"VBRI":  # at this place whatever the side information's size
+            declared = struct.unpack_from(">I", data, at + 50)[0]
         else:
             body, sound = at + 4 + 2 * protected, _sound(data, at, h)
             checked += sound is not None

@@ -254,6 +254,17 @@ def test_audio_resynchronises_and_checks():
     assert mpeg.header(bytes((0xFF, 0xFB, 0x90, 0))) == (417, 1152, 44100, 3, False, 32)
 
 
+def test_audio_knows_the_vbri_table():
+    audio = mpeg.write(bytes(range(256)) * 20, {})
+    clean = mpeg.index(audio)
+    frame = bytearray(bytes((0xFF, 0xFB, 0xE8, 0xC0)) + bytes(1436))
+    frame[36:54] = b"VBRI" + (1).to_bytes(2) + bytes(4) + (0).to_bytes(4) + (77).to_bytes(4)
+    at = clean["offsets"][0]
+    found = mpeg.index(bytes(frame) + audio[at:])
+    assert found["declared"] == 77 and found["offsets"] == [x - at + 1440 for x in clean["offsets"]]
+    assert found["samples"] == clean["samples"] and found["payload"] == clean["payload"] and found["skipped"] == 0
+
+
 def test_licenses_in_other_spelling(spark, docs, empty):
     mit = dict(reversed(licenses.KNOWN))["MIT"]
     isc = next(t for n, t in licenses.KNOWN if n == "ISC")
