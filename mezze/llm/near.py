@@ -6,8 +6,10 @@ only be shared where both halves are, so halves that nobody shares are dropped b
 
 Documents with one and the same shingle set are one node from the start. No list of a bucket's pairs is made: members are
 held against the bucket's most central member, its pivot. In each pivot's group, members of different clusters are then
-held against those nearest to the pivot, and last against each other, where counts of shared shingles still allow a link.
-Every link is confirmed on full sets. Links then meet in connected components.
+held against those nearest to the pivot, and last against each other, in blocks: a block's intersections are one product of
+two 0/1 matrices, and what leaves a block are at most as many links as it has rows. Two that meet in several groups are
+compared where both are at home, that is in the largest group of each. Every link is confirmed on full sets. Links meet in
+connected components; later links join the components of earlier ones.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ MISS = 1e-5
 SIEVE = 1 << 25
 #: Parts of a pivot's group; the member of each that is nearest to the pivot is tried as a pivot, too.
 SPLITS = 16
+#: Rows and shingles of one side of a block, about.
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 20
+#: Shingles that one matrix of a block covers at a time.
+COLUMNS = 4096
 
 
 def collections_for(threshold: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -148,8 +155,85 @@ def _reached(i, na, nb, threshold: int):
     return 100 * i >= threshold * (na + nb - i)
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int) -> DataFrame:
-    """a, b: links between nodes with different sets, enough of them to connect all that are linked."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of `left` with each of `right`, all sorted arrays of distinct values."""
+    out = np.zeros((len(left), len(right)))
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    at = [np.minimum(np.searchsorted(both, f), len(both) - 1) for f in flat]
+    own = [both[a] == f for a, f in zip(at, flat)]
+    at, rows = [a[o] for a, o in zip(at, own)], [r[o] for r, o in zip(rows, own)]
+    for start in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - start)
+        parts = []
+        for n, a, r in zip((len(left), len(right)), at, rows):
+            part = np.zeros((n, width), np.float32)
+            here = (a >= start) & (a < start + width)
+            part[r[here], a[here] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T  # exact: at most COLUMNS ones
+    return out
+
+
+def _joined(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> set[tuple[int, int]]:
+    """Edges that connect the labels of a block's rows as its links do; at most one for each row and column."""
+    # Labels spread along links, and between rows of one label, until nothing changes.
+    names, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
+    x, y = inverse[: len(left)], inverse[len(left) :]
+    least = np.arange(len(names))
+    none = len(names)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, x, np.where(links, least[y][None, :], none).min(axis=1, initial=none))
+        np.minimum.at(least, y, np.where(links, least[x][:, None], none).min(axis=0, initial=none))
+        if np.array_equal(before, least):
+            return {(int(names[i]), int(names[j])) for i, j in enumerate(least) if i != j}
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """a, b: edges between labels, from comparing each pivot group's minor rows with all of the group, in blocks.
+
+    `rows` has pivot, node, n, label, home, minor. Pairs of one label, and pairs that have one home elsewhere, are left out.
+    """
+    sides = lambda of, total: F.ceil(F.greatest(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES, F.sum(F.when(of, 1)) / BLOCK_ROWS)).cast("int").alias(total)
+    sized = saved(rows.groupBy("pivot").agg(sides(F.col("minor"), "minors"), sides(F.lit(True), "all")), "blocks")
+    spread = rows.join(sized, "pivot")
+    hashed = F.xxhash64(F.lit(3), "node")
+    cell = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_left = F.when(F.col("minor"), F.transform(upto("all"), lambda j: cell(True, F.pmod(hashed, F.col("minors")), j)))
+    as_right = F.transform(upto("minors"), lambda i: cell(False, i, F.pmod(hashed, F.col("all"))))
+    cells = spread.select("pivot", "node", "label", "home", F.inline(F.concat(F.coalesce(as_left, F.array().cast("array<struct<left:boolean,i:int,j:int>>")), as_right)))
+
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        pivot = key[0]
+        left, right = block[block["left"]], block[~block["left"]]
+        of = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None, :])
+        (lx, ly), (hx, hy) = of("label"), of("home")
+        wanted = (lx != ly) & ~((hx == hy) & (hx != pivot))
+        sizes = [np.array([len(s) for s in side["s"]], np.int64) for side in (left, right)]
+        na, nb = sizes[0][:, None], sizes[1][None, :]
+        wanted &= 100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+        x, y = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+        edges: set[tuple[int, int]] = set()
+        if len(x):
+            inner = shared_counts([left["s"].iloc[i] for i in x], [right["s"].iloc[i] for i in y])
+            links = wanted[np.ix_(x, y)] & (100 * inner >= threshold * (na[x] + nb[:, y] - inner))
+            if links.any():
+                edges = _joined(links, lx[x, 0], ly[0, y])
+        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
+
+    return cells.join(sets, "node").groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) of most links between nodes with different sets, and edges (a, b) between such components.
+
+    Together they connect all that are linked.
+    """
     half = nodes.select("node", F.posexplode("halves").alias("i", "h"))
     # Written down, like other sides of joins below that come from an aggregation: Spark splits a hot key only between two shuffles.
     shared = saved(half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
@@ -180,19 +264,25 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int)
     could = _reached(F.least("mosta", "mostb"), F.col("na"), F.col("nb"), threshold)
     compared = _compared(stars.filter(could).select("a", "b"), sets).unionByName(stars.filter(~could).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("i")))
     compared = saved(compared, "compared")
-    found = compared.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
-    labels = components(found)
+    labels = components(compared.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b"))
 
     # Two that share a bucket share its pivot: what is left to compare stands in the pivots' groups, across clusters.
-    group = compared.select(F.col("b").alias("pivot"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("np"), "i")
-    group = group.join(members.select("node", "most"), "node")
+    group = compared.select(F.col("b").alias("pivot"), F.col("a").alias("node"), F.col("na").alias("n"), "i").join(members.select("node", "most"), "node")
+    size = saved(group.groupBy("pivot").agg(F.count("*").alias("c")), "groups")
+    home = group.select("node", "pivot").join(size, "pivot").groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("top")).select("node", F.col("top.pivot").alias("home"))
+    group = saved(group.join(home, "node"), "members-of")
 
     def mixed(labels: DataFrame) -> DataFrame:
-        """Groups with several clusters: each node with its own, and whether that is its group's largest."""
+        """Groups with several clusters: each node with its own, and whether it is minor.
+
+        Of two that need to be compared, one at least is minor: outside of the group's largest cluster or, if more of the
+        group share another home, not of that home.
+        """
         now = group.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        per_label = now.groupBy("pivot", "label").agg(F.count("*").alias("c"))
-        major = saved(per_label.groupBy("pivot").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("pivot", F.col("top.label").alias("major")), "majors")
-        return saved(now.join(major, "pivot").withColumn("minor", F.col("label") != F.col("major")).drop("major"), "mixed")
+        kinds = now.groupBy("pivot", "label").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+        homes = now.filter("home != pivot").groupBy("pivot", "home").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "home")).alias("away"))
+        top = saved(kinds.filter("labels > 1").join(homes, "pivot", "left").select("pivot", F.col("top.label").alias("major"), F.when(F.col("away.c") > F.col("top.c"), F.col("away.home")).alias("away")), "majors")
+        return now.join(top, "pivot").withColumn("minor", F.when(F.col("away").isNull(), F.col("label") != F.col("major")).otherwise(F.col("home") != F.col("away"))).drop("major", "away")
 
     def may_link(x: str, y: str):
         """Clusters differ, and the largest possible intersection reaches the threshold: no shingle that a node has alone is
@@ -203,20 +293,30 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, threshold: int, m: int)
         most = F.least(c(x, "most"), c(y, "most"), by_pivot)
         return (c(x, "label") != c(y, "label")) & _reached(most, c(x, "n"), c(y, "n"), threshold)
 
-    rest = mixed(labels)
+    rest = saved(mixed(labels).filter("home = pivot"), "mixed")
     split = F.pmod(F.xxhash64("node"), F.lit(SPLITS))
     second = saved(rest.groupBy("pivot", split.alias("split")).agg(F.max(F.struct("i", "node", "n", "most", "label")).alias("p")).select("pivot", "p.*"), "second")
     pairs = rest.alias("u").join(second.alias("p"), (F.col("u.pivot") == F.col("p.pivot")) & may_link("u", "p"))
     pairs = pairs.select(F.greatest("u.node", "p.node").alias("a"), F.least("u.node", "p.node").alias("b")).distinct()
     more = _compared(pairs, sets)
-    found = saved(found.unionByName(more.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b")), "links")
+    labels = contracted(labels, more.filter(_reached(F.col("i"), F.col("na"), F.col("nb"), threshold)).select("a", "b"))
+
+    # The rest, in blocks; groups without minor rows have nothing left to compare.
+    rest = saved(mixed(labels).select("pivot", "node", "n", "label", "home", "minor"), "rest")
+    some = saved(rest.filter("minor").select("pivot").distinct(), "open")
+    return labels, _blocks(rest.join(some, "pivot"), sets, threshold)
+
 
-    # The rest: nodes outside of their group's largest cluster against the group, sets compared within the join.
-    rest = mixed(components(found)).join(sets, "node")
-    inner = F.size(F.array_intersect("u.s", "p.s"))
-    once = ~F.col("p.minor") | (F.col("u.node") < F.col("p.node"))
-    last = rest.filter("minor").alias("u").join(rest.alias("p"), (F.col("u.pivot") == F.col("p.pivot")) & once & may_link("u", "p") & _reached(inner, F.col("u.n"), F.col("p.n"), threshold))
-    return found.unionByName(last.select(F.greatest("u.node", "p.node").alias("a"), F.least("u.node", "p.node").alias("b")))
+def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component: the components of `labels` (node, component), joined by further `edges` (a, b) between nodes.
+
+    Only edges between different components are walked; nodes may be in neither.
+    """
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    across = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(across)
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return saved(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -232,12 +332,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, rows:
     signed = saved(signatures(docs, words, m, rows), "signatures")
     nodes = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     nodes = saved(nodes, "nodes")
-    edges = links(docs, nodes, words, threshold, m)
+    labels, edges = links(docs, nodes, words, threshold, m)
     named = saved(signed.select("doc_id", "n", "same").join(nodes.select("same", "node"), "same", "left").drop("same"), "named")
     # Rows that share an id but not a set have several nodes.
     twins = saved(named.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi"), "twins")
     edges = edges.unionByName(named.join(twins, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    labels = components(edges)
+    labels = contracted(labels, edges)
     component = F.coalesce("component", "node", "doc_id")
     out = named.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,30 @@ def test_near_duplicates_equal_all_pairs(docs, n, threshold):
     assert len(set(want.values())) <= len(want) - 5  # the fixture has groups
 
 
+def test_template_texts_in_blocks(spark, monkeypatch):
+    # Texts of one template, some just over the threshold, with edits that they share: no bound rules a pair out.
+    monkeypatch.setattr(near, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near, "COLUMNS", 64)
+    rnd, rows = random.Random(3), []
+    for i in range(90):
+        said = [f"w{k}" for k in range(120)]
+        for at in rnd.sample(range(120), 1 + i % 3):
+            said[at] = rnd.choice(["xx", "yy"])
+        rows.append((i, " ".join(said)))
+    want = groups(rows, 5, 80)
+    assert 10 < len(set(want.values())) < 80
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_shared_counts_and_labels():
+    rnd = np.random.default_rng(1)
+    sets = [[np.unique(rnd.integers(0, 40, n)) for n in (0, 5, 30, 60)] for _ in range(2)]
+    assert near.shared_counts(*sets).tolist() == [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
+    links = np.array([[1, 0, 0], [1, 1, 0], [0, 0, 0]], bool)
+    assert near._joined(links, np.array([7, 9, 4]), np.array([3, 8, 9])) == {(7, 3), (9, 3), (8, 3)}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near.near_duplicates(empty).collect() == []
 
