@@ -32,6 +32,39 @@ def test_unknown_and_broken_records(spark):
     assert got == {1: nothing, 2: nothing, 3: nothing, 4: nothing, 6: nothing, 5: ("messages", []), None: ("prompt", [("user", ""), ("assistant", "x")])}
 
 
+def test_records_of_any_shape(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    nested = '{"a":' * 900 + "1" + "}" * 900
+    parts = [{"type": "text", "text": "x"}, {"type": "image", "id": 1}, "y"]
+    records = [
+        ('{"messages[]": 1}', None, []), ('{"messages[].role": 1, "messages[].content": 2}', None, []), ('{"a": {"prompt": 1}, "response": ""}', None, []),
+        (r'{"prompt": "\ud800x", "response": "\ud83d\ude00", "k\udc00": 1}', "prompt", [("user", "\ufffdx"), ("assistant", "\U0001f600")]),
+        (deep, None, []), (nested, None, []), ('{"messages": 3}', None, []), ('{"messages": null}', None, []), ('{"messages": [1, null, {"role": "user", "content": "u"}]}', "messages", [("user", "u")]),
+        (json.dumps({"messages": [{"role": "user", "content": parts}]}), "message_parts", [("user", 'x\n{"type": "image", "id": 1}\ny')]),
+        (json.dumps({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "z"}]}), "messages", [("user", 'x\n{"type": "image", "id": 1}\ny'), ("assistant", "z")]),
+    ]
+    rows = spark.createDataFrame([(i, r, "x", 1) for i, (r, _, _) in enumerate(records)], "conv_id long, record string, layout string, turns int")
+    got = chat.canonical_turns(rows).orderBy("conv_id").collect()
+    assert [(r["layout"], [tuple(t) for t in r["turns"]]) for r in got] == [(n, t) for _, n, t in records]
+    assert got[4]["fingerprint"] is None and got[5]["fingerprint"]
+    assert sum(r["n"] for r in chat.shapes(chat.canonical_turns(rows)).collect()) == len(records)
+
+
+def test_callers_layouts(spark):
+    record = {"q": "Q", "a": "A", "prompt": "p", "response": "r"}
+    rows = spark.createDataFrame([(1, json.dumps(record)), (2, '{"q": "x", "a": "y"}')], "conv_id long, record string")
+    layouts = {**chat.LAYOUTS, "faq": {"must": {"q", "a"}, "may": set(), "turns": [("user", "q"), ("assistant", "a")]}}
+    names = lambda **how: [r["layout"] for r in chat.canonical_turns(rows, layouts, **how).orderBy("conv_id").collect()]
+    assert names() == ["prompt", "faq"]
+    assert names(chosen={chat.fingerprint(record): "faq"}) == ["faq", "faq"]
+
+
+def test_roles_are_held_one_by_one(spark):
+    rows = spark.createDataFrame([(1, 0, "user,assistant", "x"), (2, 0, "system,user", "s"), (2, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    back = chat.read_formatted(formatted(chat.records_of(rows))).orderBy("conv_id").collect()
+    assert [[tuple(t) for t in r["turns"]] for r in back] == [[("user,assistant", "x")], [("system,user", "s"), ("assistant", "a")]]
+
+
 def test_fingerprint_ignores_values_and_order():
     a = chat.fingerprint({"x": [{"p": 1}, {"q": 2}], "y": 3})
     assert a == chat.fingerprint({"y": 4, "x": [{"q": 5, "p": 6}, {"p": 1}]})
