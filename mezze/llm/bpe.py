@@ -10,7 +10,9 @@ worker has met before come from a bounded cache.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -45,6 +47,69 @@ def chunks(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[list[str]
         yield run
 
 
+#: Classes in pre-token patterns, as `regex` has them, and their first members, which are the same everywhere.
+CLASSES = {r"\s": (r"\p{White_Space}", r"\x20"), r"\p{L}": (r"\p{L}", "A-Za-z"), r"\p{N}": (r"\p{N}", "0-9")}
+
+
+@cache
+def differences(name: str) -> tuple[list[int], list[int]]:
+    r"""Characters that `regex` has in \s, \p{L} or \p{N} and the `tokenizers` library, of an older Unicode, has not, and the reverse."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    # What a newer Unicode leaves unassigned or to private use, an older one does too.
+    every = regex.sub(r"[\p{Cn}\p{Co}]+", "", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    runs = Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(every)
+    theirs, ours = set("".join([run for run, _ in runs])), set("".join(regex.findall(CLASSES[name][0] + "+", every)))
+    return sorted(map(ord, ours - theirs)), sorted(map(ord, theirs - ours))
+
+
+def ranges(numbers: list[int]) -> str:
+    """Ascending code points as ranges of a set."""
+    starts = [n for i, n in enumerate(numbers) if not i or numbers[i - 1] != n - 1]
+    ends = [n for i, n in enumerate(numbers) if i + 1 == len(numbers) or numbers[i + 1] != n + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+class Words:
+    """A pre-token pattern of the library, which finds what the library finds.
+
+    The classes of `regex` serve up to the first character on which the two differ; texts with a character from there on
+    are matched with classes that are mended by the differences.
+    """
+
+    def __init__(self, pattern: str):
+        quick, exact, first = pattern.replace(r"\S", r"[^\s]"), pattern.replace(r"\S", r"[^\s]"), 0x10FFFF
+        for name, (own, usual) in CLASSES.items():
+            less, more = differences(name)
+            first = min([first, *less[:1], *more[:1]])
+            mended = f"[{own}--[{ranges(less)}]]" if less else own
+            quick, exact = quick.replace(name, own), exact.replace(name, f"[{usual}{mended}{ranges(more)}]")
+        if regex.search(r"\\[^pxU]", quick):
+            raise ValueError(f"the pattern {pattern} has classes that are not known")
+        self.quick, self.exact = regex.compile(quick), regex.compile(exact, regex.V1)
+        self.rare = regex.compile(f"[\\U{first:08x}-\\U0010ffff]")
+
+    def findall(self, text: str) -> list[str]:
+        return (self.quick if text.isascii() or not self.rare.search(text) else self.exact).findall(text)
+
+
+class Specials:
+    """Added tokens of a vocabulary file, cut out of texts before anything else, the longest first."""
+
+    def __init__(self, added: list[dict], normalizes: bool):
+        for token in added:
+            if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"] and normalizes:
+                raise ValueError(f"the added token {token['content']!r} is matched in a way that is not known here")
+        self.ids = {t["content"]: t["id"] for t in added}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.ids, key=len, reverse=True))) + ")")
+        self.mark = os.path.commonprefix(list(self.ids))
+
+    def split(self, text: str) -> list[str]:
+        """Text and added tokens in turn, text first."""
+        return self.cut.split(text) if self.ids and self.mark in text else [text]
+
+
 class Bpe:
     """A BPE vocabulary with word ends, read from the file of the `tokenizers` library."""
 
@@ -54,10 +119,10 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.normalizer = Tokenizer.from_file(path).normalizer
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.lowers = self.normalizer is not None and all(self.normalizer.normalize_str(c) == c.lower() for c in map(chr, range(33, 127)))
+        self.words = Words(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        self.specials = Specials(spec["added_tokens"], self.normalizer is not None)
+        self.special = self.specials.ids
         vocab = spec["model"]["vocab"]
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.ids = vocab
@@ -137,13 +202,19 @@ class Bpe:
     def split(self, text: str) -> list[str]:
         """The text's words and special tokens in order."""
         out: list[str] = []
-        for i, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
+        for i, part in enumerate(self.specials.split(text)):
             if i % 2:
                 out.append(part)
             elif part:
-                out += self.words.findall(part.lower() if part.isascii() else self.normalizer.normalize_str(part))
+                out += self.words.findall(self.normal(part))
         return out
 
+    def normal(self, text: str) -> str:
+        """As the file's normalizer leaves the text, but for white space, which no word holds."""
+        if self.lowers and text.isascii():
+            return text.lower()
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
     def learn(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
         """A cache that has all of `words`: their ids as little-endian 32-bit numbers, and their decoded text."""
         if len(self.young) > CACHE:

@@ -1,35 +1,31 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the corpus' frequent pre-tokens with their numbers of tokens, at most TABLE rows, broadcast
-to all executors. Each task names its own most frequent pre-tokens for it, at most NAMED of them, so pre-tokens themselves
-are never shuffled. Tier two is a bounded cache of each Python worker, filled by encoding what the table lacks. The table
-saves time only; the counts do not depend on it.
+Tier one is a compact table of frequent pre-tokens with their numbers of tokens, broadcast to all executors. A byte-level
+BPE's vocabulary is itself a list of frequent strings, as each merge was the most frequent of its time: the table holds
+those entries that are whole pre-tokens, so it is never larger than the vocabulary and takes no pass over the texts. Tier
+two is a bounded cache of each Python worker, filled by encoding what the table lacks. Pre-tokens are never shuffled. The
+table saves time only; the counts do not depend on it.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mezze.llm.bpe import chunks
+from mezze.llm.bpe import Specials, Words, byte_letters, chunks
 from mezze.llm.common import map_pandas
 
-#: Pre-tokens in the broadcast table.
-TABLE = 20_000
-#: Pre-tokens that one task may name.
-NAMED = 1_000
-#: Entries of a worker's cache and of a task's counter.
+#: Entries of a worker's cache.
 CACHE = 300_000
-#: The pre-token pattern of byte-level BPE.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Fixed value: the pattern that byte-level pre-tokenizers use without being told one.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _workers: dict[str, "Counts"] = {}
 
@@ -42,18 +38,22 @@ class Counts:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+            raise ValueError("only a byte-level BPE with the usual pre-tokens, no normalizer and no prefix space is known")
+        self.words, self.specials, self.vocab = Words(PATTERN), Specials(spec["added_tokens"], False), spec["model"]["vocab"]
         self.table = dict(zip(table[0].decode("utf-8").split("\0"), table[1].tolist())) if table and len(table[1]) else {}
         self.known = dict(self.table)
         self.source = table
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of the text around special tokens, and how many of the latter it has."""
-        if self.special is None or "<|" not in text:
-            return PATTERN.findall(text), 0
-        parts = self.special.split(text)
-        return [t for part in parts for t in PATTERN.findall(part)], len(parts) - 1
+        parts = self.specials.split(text)
+        if len(parts) == 1:
+            return self.words.findall(text), 0
+        return [t for part in parts[::2] for t in self.words.findall(part)], len(parts) // 2
 
     def learn(self, pre_tokens: set[str]) -> dict[str, int]:
         if len(self.known) > CACHE:
@@ -65,41 +65,29 @@ class Counts:
         return self.known
 
 
-def frequent(docs: DataFrame, path: str, named: int = NAMED, most: int = TABLE) -> tuple[bytes, np.ndarray]:
-    """The frequent pre-tokens, joined by a zero character, and their numbers of tokens: `most` rows at the most."""
-
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(path)
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for texts in chunks(batch["text"]):
-                for text in texts:
-                    seen.update(counts.split(text)[0])
-                if len(seen) > CACHE:
-                    seen = Counter(dict(seen.most_common(CACHE // 4)))
-        top = seen.most_common(named)
-        if top:
-            yield pd.DataFrame({"pre_token": [t for t, _ in top], "n": [n for _, n in top]})
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(path)
-        for batch in batches:
-            known = counts.learn(set(batch["pre_token"]))
-            yield pd.DataFrame({"pre_token": batch["pre_token"], "length": [known[t] for t in batch["pre_token"]]})
-
-    tasks = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(name, "pre_token string, n long")
-    top = tasks.filter(F.instr("pre_token", "\0") == 0).groupBy("pre_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre_token").limit(most)
-    rows = top.select("pre_token").mapInPandas(measure, "pre_token string, length long").toPandas()
-    return "\0".join(rows["pre_token"]).encode("utf-8"), rows["length"].to_numpy(np.int32)
+def frequent(path: str) -> tuple[bytes, np.ndarray]:
+    """The vocabulary's entries that are whole pre-tokens, joined by a zero character, and their numbers of tokens."""
+    counts = Counts(path)
+    back = {ord(c): b for b, c in byte_letters().items()}
+    found = []
+    for entry in sorted(counts.vocab, key=counts.vocab.get):
+        try:
+            text = bytes(back[ord(c)] for c in entry).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            continue  # a part of a character, or a special token
+        if "\0" not in text and counts.split(text) == ([text], 0):
+            found.append(text)
+    known = counts.learn(set(found))
+    return "\0".join(found).encode("utf-8"), np.array([known[t] for t in found], np.int32)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit); one row per input row, 0 for a null or empty text.
 
-    `path` is the vocabulary file of a byte-level BPE, present on every executor. Strings of special tokens in a text count
-    as one token each, as the library has it.
+    `path` is the vocabulary file of a byte-level BPE, present on the driver and every executor. Strings of special tokens
+    in a text count as one token each, as the library has it. A null doc_id stays null; further columns are left out.
     """
-    table: Broadcast = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
+    table: Broadcast = docs.sparkSession.sparkContext.broadcast(frequent(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _workers.get(path)

@@ -187,6 +187,60 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_pre_tokens_equal_the_librarys_for_every_character():
+    from tokenizers import Tokenizer
+
+    path, other = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
+    own, library = bpe.Bpe(path), Tokenizer.from_file(path)
+    counts, bytes_ = tokens.Counts(other), Tokenizer.from_file(other)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    letters = lambda found: [w.encode().decode("latin-1").translate(own.letters) for w in found]
+    for at in range(0, len(points), 5_000):
+        text = "".join(f"a{chr(x)}1" for x in points[at : at + 5_000])
+        assert letters(own.split(text)) == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        assert letters(counts.split(text)[0]) == [p for p, _ in bytes_.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_added_tokens_of_any_spelling(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    for name, load in (("word_bpe_49k.json", bpe.Bpe), ("byte_bpe_50k.json", tokens.Counts)):
+        with open(vocabulary(name), encoding="utf-8") as file:
+            spec = json.load(file)
+        for token, content in zip(spec["added_tokens"], ("[END]", "<s>")):
+            if name.startswith("byte"):
+                spec["model"]["vocab"][content] = spec["model"]["vocab"].pop(token["content"], token["id"])
+            token["content"] = content
+        path = f"{tmp_path}/{name}"
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(spec, file)
+        text, library = "It's[END] over[END][END]<s> x [end]", Tokenizer.from_file(path)
+        ids = library.encode(text, add_special_tokens=False).ids
+        if load is bpe.Bpe:
+            own = load(path)
+            words = own.split(text)
+            known = own.learn(set(words))
+            raw = b"".join(known[w][0] for w in words)
+            assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == ids
+        else:
+            split, n = load(path).split(text)
+            assert n == text.count("[END]") and len(library.encode_batch(split, add_special_tokens=False)) == len(split)
+            counts = load(path)
+            assert sum(counts.learn(set(split))[t] for t in split) + n == len(ids)
+        spec["added_tokens"][0]["lstrip"] = True
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(spec, file)
+        with pytest.raises(ValueError, match="added token"):
+            load(path)
+
+
+def test_token_counts_shuffle_nothing(docs):
+    plan = tokens.count_tokens(docs, vocabulary("byte_bpe_50k.json"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "MapInPandas" in plan
+
+
 def test_trie_shares_states_and_survives_a_full_cache(monkeypatch):
     from tokenizers import Tokenizer
 
