@@ -223,21 +223,37 @@ def page_coordinates(html: Column) -> Column:
     return F.coalesce(*[F.when(valid_point(p["lat"], p["lng"]), p) for p in points])
 
 
-def normalize_link(href: Column, base: Column) -> Column:
-    """A same-host page link, absolute, without fragment and index file; null for other hosts, schemes and assets."""
-    origin = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"(?i)^(https?://[^?#]*)", 1), r"(?<=[^/:])/[^/]*$", "")
-    h = F.regexp_replace(F.trim(href), "#.*$", "")
-    absolute = (
-        F.when(F.regexp_like(h, F.lit("(?i)^https?://")), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "(?i)^(https?:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin, h)).when(h.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), h))
-        .when(h == "", F.regexp_replace(base, "#.*$", "")).when(~F.regexp_like(h, F.lit("(?i)^[a-z][a-z0-9+.-]*:")), F.concat(folder, F.lit("/"), F.regexp_replace(h, r"^\./", "")))
+def _resolved(path: Column) -> Column:
+    """A path without the segments `.` and `..`, however many there are; steps above the root stay at the root."""
+    here, up = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    step = lambda s: F.lower(s).isin(*here, *up)
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda done, s: F.when(F.lower(s).isin(*up), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(step(s), done).otherwise(F.concat(done, F.array(s))),
     )
-    # Without a path, the root's; steps up are taken one after the other.
-    absolute = F.regexp_replace(absolute, r"(?i)^(https?://[^/?#]+)(?=$|\?)", "$1/")
-    for _ in range(3):
-        absolute = F.regexp_replace(absolute, r"(?<=[^/:])/(?!\.\.)[^/?#]+/\.\./", "/")
-    absolute = F.regexp_replace(absolute, r"(?i)/index\.(html?|php|aspx?)(?=$|\?)", "/")
-    host = lambda c: F.lower(F.regexp_extract(c, r"(?i)^https?://([^/?#]+)", 1))
-    asset = F.regexp_like(F.regexp_extract(absolute, r"^([^?#]*)", 1), F.lit(r"(?i)\.(jpe?g|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|mp4|webm|mp3|zip|rar|woff2?|ttf)$"))
-    return F.when((host(absolute) == host(base)) & (host(base) != "") & ~asset, absolute)
+    ends = F.when(step(F.element_at(segments, -1)) & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+
+
+def normalize_link(href: Column, base: Column) -> Column:
+    """A same-host page link, resolved as a URL is, without fragment and index file; null for other hosts, schemes and assets.
+
+    Hosts are lower-cased and lose the scheme's usual port. Letters are not percent-encoded.
+    """
+    part = lambda c, nth: F.regexp_extract(c, r"(?i)^(https?:)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?", nth)
+    h = F.trim(href)
+    scheme = F.lower(F.coalesce(F.nullif(part(h, 1), F.lit("")), part(base, 1)))
+    authority = lambda c: F.concat(F.regexp_extract(c, "^(.*@)?", 1), F.regexp_replace(F.lower(F.regexp_replace(c, "^.*@", "")), F.when(scheme == "https:", ":443$").otherwise(":80$"), F.lit("")))
+    host = lambda c: F.regexp_replace(c, "^.*@", "")
+    absolute = F.regexp_like(h, F.lit("(?i)^(https?:)?//"))
+    own, path, query = F.when(absolute, part(h, 2)).otherwise(part(base, 2)), part(h, 3), part(h, 4)
+    folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
+    merged = F.when(absolute | path.startswith("/"), path).when(path == "", part(base, 3)).otherwise(F.concat(folder, path))
+    asked = F.when(absolute | (path != "") | (query != ""), query).otherwise(part(base, 4))
+    page = _resolved(merged)
+    other = F.regexp_like(h, F.lit("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"))
+    asset = F.regexp_like(page, F.lit(r"(?i)\.(jpe?g|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|mp4|webm|mp3|zip|rar|woff2?|ttf)$"))
+    same = (host(authority(own)) == host(authority(part(base, 2)))) & (host(authority(own)) != "") & (part(base, 1) != "")
+    page = F.regexp_replace(page, r"(?i)/index\.(html?|php|aspx?)$", "/")
+    return F.when(same & ~other & ~asset, F.concat(scheme, F.lit("//"), authority(own), page, asked))

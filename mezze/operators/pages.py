@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,24 +166,41 @@ def _many(node, path: str) -> Column:
     return F.coalesce(F.try_variant_get(node, path, "array<variant>"), F.array_compact(F.array(F.try_variant_get(node, path, "variant"))))
 
 
-def structured_menu(pages: DataFrame, depth: int = 4) -> DataFrame:
-    """page_id, category, ord, name, price, currency of JSON-LD menus: sections, and sections within them down to `depth`."""
+def _walk(menus):
+    """Items of each menu in the order of its sections, sections within sections to any depth; an own stack, so depth costs no recursion."""
+    many = lambda node, key: [] if not isinstance(node, dict) or key not in node else node[key] if isinstance(node[key], list) else [node[key]]
+    inner = lambda s: many(s, "hasMenuSection") + many(s, "menuSection")
+    for batch in menus:
+        rows = []
+        for page_id, nth, m, menu in zip(batch["page_id"], batch["nth"], batch["m"], batch["menu"]):
+            top = json.loads(menu)
+            # A menu that has sections is not read itself.
+            todo, i = inner(top)[::-1] or [top], 0
+            while todo:
+                section = todo.pop()
+                name = section.get("name") if isinstance(section, dict) else None
+                for item in many(section, "hasMenuItem") or many(section, "menuItem"):
+                    rows.append((page_id, nth, m, i, json.dumps(name), json.dumps(item)))
+                    i += 1
+                if section is not top:
+                    todo += inner(section)[::-1]
+        yield pd.DataFrame(rows, columns=["page_id", "nth", "m", "i", "section", "item"])
+
+
+def structured_menu(pages: DataFrame) -> DataFrame:
+    """page_id, category, ord, name, price, currency of JSON-LD menus: sections, and sections within them at any depth.
+
+    Only menus reach Python, which opens their sections. Pages without a menu have no rows.
+    """
     nodes = structured(pages).select("page_id", "nth", "node")
     is_menu = _text(F.col("node"), "$.@type") == "Menu"
     menus = nodes.select("page_id", "nth", F.posexplode(F.when(F.try_variant_get("node", "$.hasMenu", "variant").isNotNull(), _many(F.col("node"), "$.hasMenu")).when(is_menu, F.array("node"))).alias("m", "menu"))
-    at = menus.select("page_id", F.array("nth", "m").alias("at"), F.col("menu").alias("section"))
-    children = lambda s: F.concat(_many(s, "$.hasMenuSection"), _many(s, "$.menuSection"))
-    items = None
-    for level in range(depth + 1):
-        direct = F.when(F.size(_many(F.col("section"), "$.hasMenuItem")) > 0, _many(F.col("section"), "$.hasMenuItem")).otherwise(_many(F.col("section"), "$.menuItem"))
-        if level == 0:  # a menu that has sections is not read itself
-            direct = F.when(F.size(children(F.col("section"))) == 0, direct).otherwise(F.array().cast("array<variant>"))
-        found = at.select("page_id", "at", F.coalesce(_text(F.col("section"), "$.name"), F.lit("Menü")).alias("category"), F.posexplode(direct).alias("i", "item"))
-        items = found if items is None else items.unionByName(found)
-        at = at.select("page_id", "at", F.posexplode(children(F.col("section"))).alias("c", "section")).select("page_id", F.concat("at", F.array("c")).alias("at"), "section")
+    key = dict(pages.dtypes)["page_id"]
+    found = menus.select(F.col("page_id").cast("string").alias("page_id"), "nth", "m", F.to_json("menu").alias("menu")).mapInPandas(_walk, "page_id string, nth int, m int, i int, section string, item string")
+    items = found.select(F.col("page_id").cast(key).alias("page_id"), "nth", "m", "i", F.coalesce(_text(F.parse_json("section"), "$"), F.lit("Menü")).alias("category"), F.parse_json("item").alias("item"))
     offer = F.get(_many(F.col("item"), "$.offers"), F.lit(0))
-    rows = items.select("page_id", "category", "at", "i", _text(F.col("item"), "$.name").alias("name"), F.coalesce(scalars.parse_price(_text(offer, "$.price")), F.lit(0.0)).alias("price"), F.coalesce(_text(offer, "$.priceCurrency"), F.lit("TRY")).alias("currency")).filter("name IS NOT NULL")
-    return rows.select("page_id", "category", (F.row_number().over(Window.partitionBy("page_id").orderBy("at", "i")) - 1).alias("ord"), "name", "price", "currency")
+    rows = items.select("page_id", "category", "nth", "m", "i", _text(F.col("item"), "$.name").alias("name"), F.coalesce(scalars.parse_price(_text(offer, "$.price")), F.lit(0.0)).alias("price"), F.coalesce(_text(offer, "$.priceCurrency"), F.lit("TRY")).alias("currency")).filter("name IS NOT NULL")
+    return rows.select("page_id", "category", (F.row_number().over(Window.partitionBy("page_id").orderBy("nth", "m", "i")) - 1).alias("ord"), "name", "price", "currency")
 
 
 def structured_profile(pages: DataFrame) -> DataFrame:

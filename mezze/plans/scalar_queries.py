@@ -111,7 +111,7 @@ def _search(s, d):
 
 def _links(s, d):
     base = "https://Venue.com/tr/menu/index.html?a=1"
-    hrefs = ("/118/", "drinks", "../food/./", "?p=2", "#x", "//venue.com/a", "https://venue.com/b.png", "mailto:a@b.c", "https://other.com/", "https://venue.com/index.php?x=1", "https://venue.com", "")
+    hrefs = ("/118/", "drinks", "../food/./", "?p=2", "#x", "//venue.com/a", "https://venue.com/b.png", "mailto:a@b.c", "https://other.com/", "https://venue.com/index.php?x=1", "https://venue.com", "", "a/b/c/../../../../../../../d", "a//b/..", "./x/y/%2E%2e#z", "HTTPS://VENUE.com:443/p", "http://venue.com:81/")
     return _literals(s, hrefs).select("i", scalars.normalize_link(F.col("x"), F.lit(base)).alias("url"))
 
 
@@ -165,6 +165,6 @@ QUERIES = {
     "clean_title": (_alone(TITLES, name=scalars.clean_title), "SELECT i::BIGINT AS i, name FROM (VALUES (0, 'Lezzet Durağı'), (1, 'Köfteci Ali'), (2, 'Menü'), (3, 'Bar Cafe'), (4, 'A'), (5, NULL), (6, NULL)) t(i, name)"),
     "clean_url": (_alone(DIRTY, url=scalars.clean_url), "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://x.com/a'), (1, 'https://venue.com/menu'), (2, ':'), (3, 'https://y.com'), (4, 'plain+text'), (5, '%zz')) t(i, url)"),
     "search_url": (_search, f"WITH {VENUES} SELECT id, 'https://www.google.com/maps/search/' || url_encode(city || ' kafe & çay+') || '/@41.5,29.25,15z?hl=en' AS url FROM venues WHERE lng IS NOT NULL"),
-    "normalize_link": (_links, "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://Venue.com/118/'), (1, 'https://Venue.com/tr/menu/drinks'), (2, 'https://Venue.com/tr/food/./'), (3, 'https://Venue.com/tr/menu/?p=2'), (4, 'https://Venue.com/tr/menu/?a=1'), (5, 'https://venue.com/a'), (6, NULL), (7, NULL), (8, NULL), (9, 'https://venue.com/?x=1'), (10, 'https://venue.com/'), (11, 'https://Venue.com/tr/menu/?a=1')) t(i, url)"),
+    "normalize_link": (_links, "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://venue.com/118/'), (1, 'https://venue.com/tr/menu/drinks'), (2, 'https://venue.com/tr/food/'), (3, 'https://venue.com/tr/menu/?p=2'), (4, 'https://venue.com/tr/menu/?a=1'), (5, 'https://venue.com/a'), (6, NULL), (7, NULL), (8, NULL), (9, 'https://venue.com/?x=1'), (10, 'https://venue.com/'), (11, 'https://venue.com/tr/menu/?a=1'), (12, 'https://venue.com/d'), (13, 'https://venue.com/tr/menu/a//'), (14, 'https://venue.com/tr/menu/x/'), (15, 'https://venue.com/p'), (16, NULL)) t(i, url)"),
     "detect_block": (_blocked, _BLOCKED_SQL),
 }

@@ -116,6 +116,20 @@ def test_robots_groups(spark):
     assert [tuple(r) for r in rules] == [("o", "/x", False)]
 
 
+def test_menu_sections_of_any_depth(spark):
+    import json
+
+    section = {"name": "s30", "hasMenuItem": {"name": "i30"}}
+    for n in range(29, -1, -1):
+        section = {"name": f"s{n}", "menuItem": [{"name": f"i{n}", "offers": {"price": "1.5"}}], "hasMenuSection": section}
+    menu = {"@type": "Menu", "hasMenuItem": [{"name": "unread"}], "menuSection": [section, None, {"name": None, "hasMenuItem": [{"name": "last"}, 3]}]}
+    html = lambda node: f'<script type="application/ld+json">{json.dumps(node)}</script>'
+    pages_ = spark.createDataFrame([(1, html(menu)), (2, html({"@type": "Menu", "menuItem": {"name": "own"}})), (3, None), (4, html({"@type": "Cafe"}))], "page_id long, html string")
+    got = [(r["page_id"], r["category"], r["ord"], r["name"]) for r in pages.structured_menu(pages_).orderBy("page_id", "ord").collect()]
+    assert got == [*((1, f"s{n}", n, f"i{n}") for n in range(31)), (1, "Menü", 31, "last"), (2, "Menü", 0, "own")]
+    assert pages.structured_menu(pages_.limit(0)).count() == 0
+
+
 def test_photo_rules(spark):
     items = spark.createDataFrame([("v", 1, "Kıymalı Pide", None), ("v", 2, "Adana Kebap Porsyon", None), ("v", 3, "Çay", None), ("v", 4, "kg", None), ("v", 5, "Adana", "has.png")], "venue_id string, ord long, name string, image string")
     posts = spark.createDataFrame([("v", 2, "second", "kiymali pide ve çay"), ("v", 1, "first", "Bugün KIYMALI PİDE!"), ("v", 3, "third", "kebap adana usulü"), ("w", 0, "other", "çay")], "venue_id string, nth int, image_url string, text string")
