@@ -167,6 +167,28 @@ def test_lines_on_many_sites_go_but_for_the_first(docs, empty, lg_k):
     assert linedup.remove_boilerplate(empty).count() == 0
 
 
+def test_lines_of_rows_without_ids_stay_once(spark):
+    shared = "A line that all sites share"
+    rows = [(None, f"{shared}\nown {i}\n{shared}", f"s{i}") for i in range(12)]
+    texts = [r["text"] for r in linedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(t.count(shared) for t in texts) == [0] * 11 + [2] and all("own" in t for t in texts)
+    named = linedup.remove_boilerplate(spark.createDataFrame([*rows, (7, shared, "s1")], "doc_id long, text string, source string")).collect()
+    assert [r["doc_id"] for r in named if shared in r["text"]] == [7]
+
+
+def test_classes_count_characters(spark):
+    texts = {1: "かな" * 200, 2: "é" * 100 + "a" * 300, 3: "😀" * 250}
+    rows = quality.measure(spark.createDataFrame([(k, v, "en") for k, v in texts.items()], "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"]: (r["beyond"], r["n_text"]) for r in rows} == {1: (400, 400), 2: (100, 400), 3: (250, 250)}
+
+
+def test_ties_of_a_draw_are_settled_by_text(spark):
+    rows = [(1, f"word{i} x", "s") for i in range(40)] + [(2, "y " * 30, "t")]
+    frames = [spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n) for step, n in ((1, 1), (-1, 7))]
+    one, two = ({(r["of"], r["copies"]) for r in mixing.mix(f).collect()} for f in frames)
+    assert one == two
+
+
 def test_large_ids_stay_next_to_nulls(spark):
     rows = spark.createDataFrame([(2**60 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in mpeg.index_media(mpeg.store_texts(rows)).collect()} == {2**60 + 1, None}
