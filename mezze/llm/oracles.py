@@ -76,7 +76,7 @@ m AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(text) AS n_text,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits,
-    length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g')) AS marks, strlen(text) - length(text) AS beyond,
+    length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g')) AS marks, length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS beyond,
     ref_words, ref_h, ref_c,
     list_filter(string_split_regex(lower(text), '{_GAPS}'), lambda x: x <> '') AS low
   FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN refs ON lang = of

@@ -23,7 +23,7 @@ COMMON = {
     "de": {"der": 3.4, "die": 3.3, "und": 2.8, "in": 1.9, "den": 1.3, "von": 1.1, "zu": 1.1, "das": 1.1, "mit": 1.0, "sich": 0.9, "des": 0.9, "auf": 0.8, "für": 0.8, "ist": 0.8, "im": 0.8, "nicht": 0.7},
     "es": {"de": 6.0, "la": 4.0, "que": 3.1, "el": 2.8, "en": 2.7, "y": 2.5, "los": 1.7, "se": 1.4, "del": 1.3, "las": 1.2, "un": 1.1, "por": 1.0, "con": 0.9, "no": 0.8, "una": 0.8, "para": 0.7},
 }
-#: Shares of character classes in prose, in percent: small letters and the rest, A-Z, bytes beyond ASCII, digits, white space, punctuation, symbols.
+#: Shares of character classes in prose, in percent: small letters and the rest, A-Z, characters beyond ASCII, digits, white space, punctuation, symbols.
 CLASSES = {
     "en": (77.5, 2.5, 0.2, 0.5, 16.8, 2.4, 0.1),
     "fr": (74.8, 2.4, 3.4, 0.5, 16.3, 2.5, 0.1),
@@ -101,7 +101,7 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
         bind(words(F.col("text")), of_words).alias("of_words"),
         bind(F.filter(F.split("text", "\n"), lambda x: F.length(F.ltrim(F.translate(x, "\t\x0b\f\r", ""))) > 0), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         _chars(SYMBOLS).cast("long").alias("n_symbols"), _chars("[A-Z]+").alias("upper"), _chars("[0-9]+").alias("digits"),
-        _chars(r"[.,;:!?'\"()-]+").alias("marks"), (F.octet_length("text") - F.length("text")).alias("beyond"),
+        _chars(r"[.,;:!?'\"()-]+").alias("marks"), F.when(F.octet_length("text") == F.length("text"), 0).otherwise(_chars(r"[^\x00-\x7F]+")).alias("beyond"),
         F.array_join(F.transform(words(F.lower("text")), place), "").alias("places"),
     )).select("*", "of_words.*").drop("of_words")
     ordered = _fence(hashed.select("*", F.sort_array("h").alias("s")))
