@@ -115,8 +115,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     """doc_id, source, of (hash of the text), size, source_size, target, copies, taken; one row per input row.
 
     size: words of the text, 0 for a null or empty one, which is then taken 0 times. A null source is a source, last in
-    order. Rows that share an id are separate documents; ties of the seeded hash are broken by id and row order, which
-    changes no total. An empty table gives no rows.
+    order. Rows that share an id are separate documents; ties of the seeded hash are broken by id and the text's hash,
+    so a rerun takes the same texts. An empty table gives no rows.
     """
     counted = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     ranked_by = F.xxhash64(F.lit(seed), "doc_id")
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     whole = (F.col("of_split") == 0) | (F.col("of_split") == F.col("in_split"))
     settled = tagged.filter(whole).withColumn("rank", F.when(F.col("of_split") == 0, F.lit(1)).otherwise(F.lit(0)))
     # Only the one sub-bucket that a cut goes through is ranked.
-    open_ = tagged.filter(~whole).withColumn("rank", F.when(F.row_number().over(Window.partitionBy("of", "size", "split").orderBy("draw", "doc_id")) <= F.col("of_split"), 0).otherwise(1))
+    open_ = tagged.filter(~whole).withColumn("rank", F.when(F.row_number().over(Window.partitionBy("of", "size", "split").orderBy("draw", "doc_id", "text_hash")) <= F.col("of_split"), 0).otherwise(1))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("epochs") + F.when(F.col("rank") == 0, 1).otherwise(0))
     return settled.unionByName(open_).select("doc_id", "source", F.col("text_hash").alias("of"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
