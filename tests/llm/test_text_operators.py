@@ -378,3 +378,14 @@ def test_licenses_in_other_spelling(spark, docs, empty):
     assert licenses.scan(docs).count() == len(documents()) and licenses.scan(empty).count() == 0
     nothing = licenses.scan(docs).filter("doc_id = 0").first()
     assert nothing["n_words"] == 0 and nothing["canonical_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("edges", [[], [(2, 1), (3, 1), (9, 4), (5, 5)], [(i, i + 1) for i in range(60)], [(i * 7 % 90, i * i % 97 + 200 * (i % 3)) for i in range(150)]])
+def test_components_are_the_least_nodes(spark, edges):
+    least = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["component"] for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: c for n, c in least.items() if n != c}
