@@ -66,3 +66,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """`df`, marked for broadcast where it has at most `most` rows; otherwise for Spark to join by a shuffle.
+
+    `df` is counted here: hand over a table that is written down.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")

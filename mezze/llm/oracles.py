@@ -154,3 +154,30 @@ SELECT d.doc_id, CASE WHEN c = '' THEN 0 ELSE length(c) - length(replace(c, ' ',
   license, coalesce(line_licenses, []) AS line_licenses
 FROM d LEFT JOIN catalog ON sha256(c) = digest LEFT JOIN found USING (doc_id)
 """
+
+
+def vectors_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Rounds of assigning and moving, all distances worked out."""
+    floor_div = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for k in range(rounds + 1):
+        distance = "CAST(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+        steps.append(f"near{k} AS (SELECT v.row, v.p, min(struct_pack(d := {distance}, e := c.e)) AS best FROM cut v JOIN book{k} c ON v.p = c.p GROUP BY v.row, v.p)")
+        if k < rounds:
+            steps.append(f"sums{k} AS (SELECT v.p, best.e AS e, i, sum(v.x[i]) AS s, count(*) AS n FROM cut v JOIN near{k} USING (row, p), range(1, (SELECT max(len(x)) FROM cut) + 1) AS places(i) GROUP BY ALL)")
+            steps.append(f"moved{k} AS (SELECT p, e, list({floor_div} ORDER BY i) AS x FROM sums{k} GROUP BY p, e)")
+            steps.append(f"book{k + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN moved{k} m ON b.p = m.p AND b.e = m.e)")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+  SELECT row, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS places(p)
+), book0 AS (SELECT p, row - 1 AS e, x FROM cut WHERE row <= {entries}),
+{", ".join(steps)},
+coded AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY row),
+labelled AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (row))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM labelled
+"""
