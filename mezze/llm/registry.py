@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mezze.llm import bpe, chat, licenses, linedup, mixing, mpeg, near, oracles, quality, tokens, vectors, warc
+from mezze.llm import bpe, chat, licenses, linedup, mixing, mpeg, near, oracles, quality, tokens, trie, vectors, warc
 from mezze.llm.common import saved, table, vocabulary
 from mezze.session import shipped
 
@@ -69,18 +69,25 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations after the contract's graft; see trie.sequences for nulls and ties."""
+    rows = trie.sequences(table(spark, sf_dir, "conversations"))
+    n_turns = F.crc32(F.col("conv_id").cast("string")) % 6
+    return trie.trie(trie.grafted(rows, F.col("conv_id") - F.col("conv_id") % 100, n_turns, most=5))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors with the contract's parameters; see vectors.compress for nulls, ties and odd lengths."""
     return vectors.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_line_dedup, op2_mpeg_audio, op3_chat, op4_bpe, op5_divergence, op6_token_counts, op7_warc_revisits, op8_minhash, op9_licenses, op10_mix, op13_vector_codes)
+    operators = (op1_line_dedup, op2_mpeg_audio, op3_chat, op4_bpe, op5_divergence, op6_token_counts, op7_warc_revisits, op8_minhash, op9_licenses, op10_mix, op12_prefix_trie, op13_vector_codes)
     return {f.__name__: shipped(f) for f in operators} | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": oracles.LINES, "op3_chat": oracles.CHAT, "op5_divergence": oracles.quality_sql(), "op7_warc_revisits": oracles.WARC,
-        "op8_minhash": oracles.NEAR, "op9_licenses": oracles.licenses_sql(), "op13_vector_codes": oracles.vectors_sql(),
+        "op8_minhash": oracles.NEAR, "op9_licenses": oracles.licenses_sql(), "op12_prefix_trie": oracles.TRIE, "op13_vector_codes": oracles.vectors_sql(),
     }
