@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mezze.llm import bpe, chat, licenses, linedup, mixing, mpeg, near, oracles, quality, tokens, trie, vectors, warc
+from mezze.llm import bpe, chat, licenses, linedup, mixing, mpeg, near, oracles, pii, quality, tokens, trie, vectors, warc
 from mezze.llm.common import saved, table, vocabulary
 from mezze.session import shipped
 
@@ -69,6 +69,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of the terms that disclose it in all documents; see pii.find for nulls and copies."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all conversations after the contract's graft; see trie.sequences for nulls and ties."""
     rows = trie.sequences(table(spark, sf_dir, "conversations"))
@@ -82,7 +88,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_line_dedup, op2_mpeg_audio, op3_chat, op4_bpe, op5_divergence, op6_token_counts, op7_warc_revisits, op8_minhash, op9_licenses, op10_mix, op12_prefix_trie, op13_vector_codes)
+    operators = (op1_line_dedup, op2_mpeg_audio, op3_chat, op4_bpe, op5_divergence, op6_token_counts, op7_warc_revisits, op8_minhash, op9_licenses, op10_mix, op11_pii, op12_prefix_trie, op13_vector_codes)
     return {f.__name__: shipped(f) for f in operators} | {"pipeline": shipped(corpus_pipeline.run)}
 
 
