@@ -1,4 +1,4 @@
-"""Jobs of the enrichment queue, as batches over their events (event_id, place_id, state, ts)."""
+"""Jobs of the enrichment queue, as batches over their events (event_id, place_id, host, kind, state, ts)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STICKY = "captcha_blocked"
+#: A kind of job that is tried once: a browser session, not a call that can be repeated.
+DISCOVER = "discover"
 ATTEMPTS = 3
 FIRST_DELAY_S = 3
 
@@ -33,18 +35,33 @@ def status(events: DataFrame) -> DataFrame:
     return last.select("place_id", F.when((F.col("last") == "failed") & (F.col("before") == STICKY), STICKY).otherwise(F.col("last")).alias("status"))
 
 
+def _failures(events: DataFrame) -> DataFrame:
+    """The failures that count, each with its attempt, whether it is final, and when its place was next queued or completed."""
+    order = Window.partitionBy("place_id").orderBy("ts", "event_id")
+    anew = F.col("state").isin("queued", "completed")
+    run = F.count(F.when(anew, 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    next_ = F.first(F.when(anew, F.col("ts")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    failed = events.withColumn("run", run).withColumn("anew_at", next_).filter(F.col("state").isin("failed", STICKY))
+    nth = F.row_number().over(Window.partitionBy("place_id", "run").orderBy("ts", "event_id"))
+    most = F.when(F.col("kind") == DISCOVER, 1).otherwise(ATTEMPTS)
+    final = (F.col("state") == STICKY) | (F.col("attempt") >= most)
+    delay = F.when(~F.col("final"), FIRST_DELAY_S * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long")
+    return failed.withColumn("attempt", nth).filter(F.col("attempt") <= most).withColumn("final", final).withColumn("delay_s", delay)
+
+
 def retries(events: DataFrame) -> DataFrame:
     """event_id, place_id, attempt, delay_s, final: failures of a place since it was last queued, and when the next try is due.
 
-    Delays double from three seconds; the third failure is final, a wall against robots at once.
+    Delays double from three seconds; the third failure is final, that of a discovery and a wall against robots at once.
     """
-    order = Window.partitionBy("place_id").orderBy("ts", "event_id")
-    run = F.count(F.when(F.col("state").isin("queued", "completed"), 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    failed = events.withColumn("run", run).filter(F.col("state").isin("failed", STICKY))
-    nth = F.row_number().over(Window.partitionBy("place_id", "run").orderBy("ts", "event_id"))
-    final = (F.col("state") == STICKY) | (F.col("attempt") >= ATTEMPTS)
-    numbered = failed.withColumn("attempt", nth).filter(F.col("attempt") <= ATTEMPTS)
-    return numbered.select("event_id", "place_id", "attempt", F.when(~final, FIRST_DELAY_S * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long").alias("delay_s"), final.alias("final"))
+    return _failures(events).select("event_id", "place_id", "attempt", "delay_s", "final")
+
+
+def due(events: DataFrame) -> DataFrame:
+    """event_id, place_id, attempt, due_at: the retries that fall due before their place is queued or completed anew."""
+    at = F.col("ts") + F.make_dt_interval(secs=F.col("delay_s"))
+    waiting = _failures(events).filter("delay_s IS NOT NULL").withColumn("due_at", at)
+    return waiting.filter("anew_at IS NULL OR anew_at > due_at").select("event_id", "place_id", "attempt", "due_at")
 
 
 def fan_out(requests: DataFrame, places: DataFrame) -> DataFrame:
@@ -65,8 +82,8 @@ def retained(events: DataFrame, completed_s: int = 3600, failed_s: int = 86400,
 
 
 def static_only(events: DataFrame, seconds: int = 600) -> DataFrame:
-    """event_id, static: whether the place failed in the `seconds` before the event, so that it is fetched without rendering."""
+    """event_id, static: whether the event's host failed in the `seconds` before it, so that its pages are fetched without rendering."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = Window.partitionBy("place_id").orderBy("us").rangeBetween(-seconds * 1_000_000, -1)
+    before = Window.partitionBy("host").orderBy("us").rangeBetween(-seconds * 1_000_000, -1)
     marked = events.withColumn("us", micros).withColumn("failures", F.count(F.when(F.col("state").isin("failed", STICKY), 1)).over(before))
     return marked.select("event_id", (F.col("failures") > 0).alias("static"))

@@ -10,7 +10,7 @@ from mezze.operators.menus import merge_pages, nested
 from mezze.plans.views import JOBS, MENU_ROWS, VENUES, job_events, menu_rows, table, venues
 
 _V = f"WITH {VENUES}"
-_J = f"WITH {JOBS}"
+JOBS_SQL = _J = f"WITH {JOBS}"
 
 
 def _rows_a(s, d):
@@ -124,6 +124,15 @@ def _fan(s, d):
 
 _LAST = "SELECT place_id, max_by(state, (ts, event_id)) AS last, max_by(state, (ts, event_id)) FILTER (state <> 'failed') AS before FROM jobs GROUP BY 1"
 
+RETRIES = f"""{_J}, r AS (
+  SELECT *, count(*) FILTER (state IN ('queued', 'completed')) OVER (PARTITION BY place_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run,
+    min(CASE WHEN state IN ('queued', 'completed') THEN ts END) OVER (PARTITION BY place_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS anew_at FROM jobs
+), n AS (
+  SELECT *, CASE WHEN kind = 'discover' THEN 1 ELSE 3 END AS most, row_number() OVER (PARTITION BY place_id, run ORDER BY ts, event_id)::INTEGER AS attempt FROM r WHERE state IN ('failed', 'captcha_blocked')
+), f AS (SELECT *, state = 'captcha_blocked' OR attempt >= most AS final FROM n WHERE attempt <= most),
+w AS (SELECT *, CASE WHEN NOT final THEN (3 * pow(2, attempt - 1))::BIGINT END AS delay_s, ts + to_seconds(CASE WHEN NOT final THEN (3 * pow(2, attempt - 1))::BIGINT END) AS due_at FROM f)"""
+DUE = "delay_s IS NOT NULL AND (anew_at IS NULL OR anew_at > due_at)"
+
 QUERIES = {
     "normalize_provider_a": (_normal_a, _ROWS_A),
     "normalize_provider_b": (_normal_b, _ROWS_B),
@@ -153,13 +162,9 @@ CASE WHEN k % 3 <> 0 THEN created_at END AS created_at, CASE WHEN k % 2 = 0 THEN
     "job_counts": (lambda s, d: jobs.counts(job_events(s, d)), f"{_J} SELECT state, count(*) AS n FROM jobs GROUP BY 1"),
     "rate_window": (lambda s, d: jobs.rate_windows(job_events(s, d), 3600, 15), f"{_J} SELECT date_trunc('hour', ts) AS start, count(*) AS n, greatest(0, count(*) - 15) AS over FROM jobs GROUP BY 1"),
     "job_status": (lambda s, d: jobs.status(job_events(s, d)), f"{_J}, l AS ({_LAST}) SELECT place_id, CASE WHEN last = 'failed' AND before = 'captcha_blocked' THEN before ELSE last END AS status FROM l"),
-    "job_fanout": (_fan, "SELECT DISTINCT 'gm_aps_' || l_partkey % 50 AS job_id, l_orderkey AS request_id, 'gm:aps/' || l_partkey % 50 AS google_place_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0"),
-    "job_retry": (
-        lambda s, d: jobs.retries(job_events(s, d)),
-        f"""{_J}, r AS (SELECT *, count(*) FILTER (state IN ('queued', 'completed')) OVER (PARTITION BY place_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM jobs),
-n AS (SELECT *, row_number() OVER (PARTITION BY place_id, run ORDER BY ts, event_id)::INTEGER AS attempt FROM r WHERE state IN ('failed', 'captcha_blocked'))
-SELECT event_id, place_id, attempt, CASE WHEN state = 'failed' AND attempt < 3 THEN (3 * pow(2, attempt - 1))::BIGINT END AS delay_s, state = 'captcha_blocked' OR attempt >= 3 AS final FROM n WHERE attempt <= 3""",
-    ),
+    "job_fanout": (_fan, "SELECT DISTINCT 'gm_aps_' || l_partkey % 50 AS job_id, l_orderkey AS request_id, 'gm:aps/' || l_partkey % 50 AS google_place_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
+    "job_retry": (lambda s, d: jobs.retries(job_events(s, d)), f"{RETRIES} SELECT event_id, place_id, attempt, delay_s, final FROM w"),
+    "job_retry_due": (lambda s, d: jobs.due(job_events(s, d)), f"{RETRIES} SELECT event_id, place_id, attempt, due_at FROM w WHERE {DUE}"),
     "job_retention": (
         lambda s, d: jobs.retained(job_events(s, d), 36_000, 864_000, 300),
         f"""{_J} SELECT event_id, state FROM jobs WHERE state IN ('completed', 'failed') AND epoch_us((SELECT max(ts) FROM jobs)) - epoch_us(ts) <= CASE WHEN state = 'completed' THEN 36000000000 ELSE 864000000000 END
@@ -167,6 +172,6 @@ QUALIFY row_number() OVER (PARTITION BY state ORDER BY ts DESC, event_id DESC) <
     ),
     "host_ttl": (
         lambda s, d: jobs.static_only(job_events(s, d), 36_000),
-        f"{_J} SELECT event_id, count(*) FILTER (state IN ('failed', 'captcha_blocked')) OVER (PARTITION BY place_id ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND 1 PRECEDING) > 0 AS static FROM jobs",
+        f"{_J} SELECT event_id, count(*) FILTER (state IN ('failed', 'captcha_blocked')) OVER (PARTITION BY host ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND 1 PRECEDING) > 0 AS static FROM jobs",
     ),
 }

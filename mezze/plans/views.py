@@ -100,14 +100,18 @@ STATES = {"signup": "queued", "click": "processing", "purchase": "completed", "e
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, place_id, state, ts: events as steps of one enrichment job for each user."""
+    """event_id, place_id, host, kind, state, ts: events as steps of one job for each user, four users to a host."""
+    k = F.col("user_id")
     state = F.coalesce(*[F.when(F.col("event_type") == e, s) for e, s in STATES.items()])
     state = F.when((F.col("event_type") == "error") & (F.col("event_id") % 10 == 0), "captcha_blocked").otherwise(state)
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("place_id"), state.alias("state"), "ts")
+    url = F.concat(F.lit("https://www.venue"), F.floor(k / 4).cast("string"), F.lit(".com/Menu/"), k.cast("string"))
+    kind = F.when(k % 10 == 3, "discover").otherwise("enrich")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("place_id"), F.parse_url(url, F.lit("HOST")).alias("host"), kind.alias("kind"), state.alias("state"), "ts")
 
 
 JOBS = f"""jobs AS (
-  SELECT event_id, user_id AS place_id, ts, CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'captcha_blocked'
+  SELECT event_id, user_id AS place_id, 'www.venue' || user_id // 4 || '.com' AS host, CASE WHEN user_id % 10 = 3 THEN 'discover' ELSE 'enrich' END AS kind, ts,
+    CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'captcha_blocked'
     {' '.join(f"WHEN event_type = '{e}' THEN '{s}'" for e, s in STATES.items())} END AS state
   FROM events
 )"""

@@ -6,11 +6,13 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dir: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,3 +34,14 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _own_dir.setdefault(app, _own_dir.get(app) or tempfile.mkdtemp(prefix="mezze-"))
+    return f"{shared.rstrip('/')}/mezze/{name}-{uuid.uuid4().hex}"
