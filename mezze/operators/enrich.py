@@ -110,11 +110,14 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "google_place_id",
     """A new snapshot: incoming rows in place of stored ones with their key, but for `keep`; the latest of several incoming.
 
     One full outer join on the key. Columns are those of `stored`; what incoming lacks stays as stored, what it has as null
-    becomes null.
+    becomes null. A row without a value of `order` is older than any with one; of equal ones that whose columns come
+    last in order, so that a rerun chooses alike. A null key is a key of its own, and matches itself.
     """
-    latest = incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), order).alias("new"))
+    sortable = [F.col(f"`{c}`") if "map<" not in t and t != "variant" else F.to_json(F.col(f"`{c}`")) for c, t in incoming.dtypes]
+    age = F.struct(F.col(order).isNotNull(), F.col(order), *sortable)
+    latest = incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), age).alias("new"))
     old = stored.select(F.col(key).alias("_key"), F.struct(*stored.columns).alias("old"))
-    joined = old.join(latest, F.col("_key") == F.col(key), "full_outer")
+    joined = old.join(latest, F.col("_key").eqNullSafe(F.col(key)), "full_outer")
 
     def column(c: str) -> Column:
         if c not in incoming.columns:

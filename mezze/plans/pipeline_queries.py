@@ -104,16 +104,120 @@ def _upserted(s, d):
     return ops.upsert(stored, twice.unionByName(older))
 
 
+def _upserted_nulls(s, d):
+    """Updates without a time, among them new keys, and several of one key and time."""
+    v = venues(s, d).select("google_place_id", "name", "updated_at", F.col("id").cast("long").alias("k"))
+    timeless = v.filter("k % 2 = 0").select(F.when(F.col("k") % 8 == 0, F.concat(F.lit("new"), "google_place_id")).otherwise(F.col("google_place_id")).alias("google_place_id"), F.concat("name", F.lit(" b")).alias("name"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    tied = timeless.withColumn("name", F.concat("name", F.lit(" c")))
+    timed = v.filter("k % 6 = 0 AND k % 8 <> 0").select("google_place_id", F.lit("timed").alias("name"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return ops.upsert(v.drop("k").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")), timeless.unionByName(tied).unionByName(timed))
+
+
+_UPSERT_NULLS = f"""{_V} SELECT google_place_id, CASE WHEN k % 2 = 0 AND k % 8 <> 0 THEN CASE WHEN k % 6 = 0 THEN 'timed' ELSE name || ' b c' END ELSE name END AS name, CASE WHEN k % 2 <> 0 OR k % 8 = 0 OR k % 6 = 0 THEN updated_at END AS updated_at FROM venues
+UNION ALL SELECT 'new' || google_place_id, name || ' b c', NULL FROM venues WHERE k % 8 = 0"""
+
+
 def _exported(s, d):
-    menus = nested(merge_pages(menu_rows(s, d))).select(F.col("venue_id").alias("m_id"), "categories")
-    return venues(s, d).join(menus, F.col("id") == F.col("m_id"), "left")
+    """Venues as an export has them, all optional fields included, some of them empty, with odd characters and numbers."""
+    k, menu = F.col("id").cast("long"), nested(merge_pages(menu_rows(s, d)))
+    odd = F.length("name")
+    text = "array<string>"
+    full = lambda i: F.struct(
+        i["item_id"].alias("item_id"), i["name"].alias("name"), F.when(F.length(i["name"]) % 2 == 0, F.concat(F.lit('"Hot" & <'), i["name"], F.lit(">"))).alias("description"), i["price"].alias("price"), F.lit("TRY").alias("currency"), i["image"].alias("original_image_url"),
+        F.when(i["image"].isNotNull(), F.concat(F.lit("/media/"), i["item_id"], F.lit(".webp"))).alias("webp_image_url"), (F.length(i["name"]) % 3 != 0).alias("is_available"), F.when(i["price"] > 1500, F.array(F.lit("nuts"), F.lit("milk"))).otherwise(F.array().cast(text)).alias("allergens"),
+        F.array(F.struct(F.lit("Half").alias("name"), (i["price"] / 2).alias("price"))).alias("variants"),
+    )
+    menus = menu.select(F.col("venue_id").alias("m_id"), F.transform("categories", lambda c: F.struct(c["category_id"].alias("category_id"), c["name"].alias("name"), F.transform(c["items"], full).alias("items"))).alias("categories"))
+    wide = venues(s, d).join(menus, F.col("id") == F.col("m_id"), "left").drop("m_id")
+    small = F.struct(F.lit("Point").alias("type"), F.array(F.lit(0.0005), F.lit(-12.0)).alias("coordinates"))
+    return wide.select(
+        "id", "google_place_id", F.when(k % 10 == 0, F.concat("name", F.lit(' & "Söhne"; <1>, x'))).otherwise(F.col("name")).alias("name"), "primary_type", "rating", "user_ratings_total", F.when(k % 2 == 0, (k % 5).cast("int")).alias("price_level"),
+        F.when(k % 17 == 0, small).otherwise(F.col("location")).alias("location"), F.struct("address.*", F.when(k % 3 == 0, F.lpad((k % 90000).cast("string"), 5, "0")).alias("postal_code")).alias("address"),
+        F.struct("contacts.*", F.when(k % 4 == 0, F.create_map(F.lit("instagram"), F.concat(F.lit("https://instagram.com/v"), "id"))).alias("social_media")).alias("contacts"),
+        F.struct("digital_presence.*", F.when(k % 5 == 0, F.array(F.struct(F.lit("Getir").alias("name"), F.concat(F.lit("https://g.example/?a=1&v="), "id").alias("url")))).alias("ordering_channels")).alias("digital_presence"),
+        "categories", F.when(k % 6 == 0, F.array(F.lit("cafe"), F.col("primary_type"))).alias("kinds"), F.struct(F.when(k % 7 == 0, F.array(F.lit("Mon: 9-5"), F.lit("Tue: closed"))).alias("weekday_text")).alias("opening_hours"), F.when(k % 8 == 0, F.concat(F.lit("8GC2+"), "id")).alias("plus_code"),
+        "data_source", "provider", "created_at", "updated_at",
+    )
 
 
 _NUMBER = "CASE WHEN {x} = floor({x}) THEN CAST({x}::BIGINT AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
-_CSV = f"""{_V}, {MENU_ROWS}, n AS (SELECT venue_id, count(DISTINCT category) AS c, count(DISTINCT (category, lower(name), price)) AS i FROM menu_rows GROUP BY 1)
-SELECT id, concat_ws(',', id, google_place_id, name, primary_type, coalesce({_NUMBER.format(x='rating')}, ''), CAST(user_ratings_total AS VARCHAR), coalesce({_NUMBER.format(x='lat')}, ''), coalesce({_NUMBER.format(x='lng')}, ''), city, district, formatted,
-  array_to_string(phone_numbers, ' | '), array_to_string(emails, ' | '), coalesce(website_url, ''), '', CAST(has_website AS VARCHAR), CAST(has_qr_menu AS VARCHAR), coalesce(qr_menu_provider, ''), CASE WHEN has_qr_menu THEN coalesce(qr_menu_url, '') ELSE '' END, CAST(supports_online_ordering AS VARCHAR),
-  CAST(coalesce(c, 0) AS VARCHAR), CAST(coalesce(i, 0) AS VARCHAR), data_source, coalesce(provider, ''), '', '', '', '') AS line FROM venues LEFT JOIN n ON id = venue_id"""
+_CELL = """CASE WHEN regexp_matches({x}, '[",\n;]') THEN '"' || replace({x}, '"', '""') || '"' ELSE coalesce({x}, '') END"""
+_XML = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+#: The venues of `_exported`, and their merged menus in order.
+_WIDE = f"""{_V}, {MENU_ROWS}, merged AS (
+  SELECT * FROM menu_rows QUALIFY row_number() OVER (PARTITION BY venue_id, trim(regexp_replace(lower(category), '\\s+', ' ', 'g')), lower(name), price ORDER BY ord) = 1
+), items AS (
+  SELECT *, 'item_' || substr(md5(concat_ws(':', category, name)), 1, 8) AS item_id, 'cat_' || substr(md5(category), 1, 8) AS category_id, min(ord) OVER (PARTITION BY venue_id, category) AS cat_ord,
+    CASE WHEN length(name) % 2 = 0 THEN '"Hot" & <' || name || '>' END AS description, length(name) % 3 <> 0 AS is_available, price > 1500 AS allergic FROM merged
+), wide AS (
+  SELECT venues.* REPLACE (CASE WHEN k % 10 = 0 THEN name || ' & "Söhne"; <1>, x' ELSE name END AS name, CASE WHEN k % 17 = 0 THEN 0.0005e0 ELSE lng END AS lng, CASE WHEN k % 17 = 0 THEN -12e0 ELSE lat END AS lat),
+    CASE WHEN k % 2 = 0 THEN k % 5 END AS price_level, CASE WHEN k % 3 = 0 THEN lpad(CAST(k % 90000 AS VARCHAR), 5, '0') END AS postal_code, CASE WHEN k % 4 = 0 THEN 'https://instagram.com/v' || id END AS instagram,
+    CASE WHEN k % 5 = 0 THEN 'https://g.example/?a=1&v=' || id END AS channel, CASE WHEN k % 6 = 0 THEN ['cafe', primary_type] END AS kinds, CASE WHEN k % 7 = 0 THEN ['Mon: 9-5', 'Tue: closed'] END AS hours, CASE WHEN k % 8 = 0 THEN '8GC2+' || id END AS plus_code,
+    CASE WHEN has_qr_menu AND k % 4 = 0 THEN qr_menu_url END AS qr_url
+  FROM venues
+)"""
+_CELLS = ["id", "google_place_id", "name", "primary_type", _NUMBER.format(x="rating"), "CAST(user_ratings_total AS VARCHAR)", "CASE WHEN lat = 0.0005e0 THEN '0.0005' ELSE " + _NUMBER.format(x="lat") + " END", "CASE WHEN lng = 0.0005e0 THEN '0.0005' ELSE " + _NUMBER.format(x="lng") + " END", "city", "district", "formatted",
+          "array_to_string(phone_numbers, ' | ')", "array_to_string(emails, ' | ')", "website_url", "instagram", "CAST(has_website AS VARCHAR)", "CAST(has_qr_menu AS VARCHAR)", "qr_menu_provider", "qr_url", "CAST(supports_online_ordering AS VARCHAR)",
+          "CAST(coalesce(c, 0) AS VARCHAR)", "CAST(coalesce(i, 0) AS VARCHAR)", "data_source", "provider", "array_to_string(kinds, ' | ')", "plus_code", "postal_code", "array_to_string(hours, ' | ')"]
+_CSV = f"""{_WIDE}, n AS (SELECT venue_id, count(DISTINCT category) AS c, count(*) AS i FROM items GROUP BY 1)
+SELECT id, {" || ',' || ".join(_CELL.format(x=f"({c})") for c in _CELLS)} AS line FROM wide LEFT JOIN n ON id = venue_id"""
+
+
+def _json_field(name: str, value: str, text: bool = True) -> str:
+    """A member of an object with its comma after it; nothing where the value is null."""
+    return f"""coalesce('"{name}":' || {f"to_json({value})" if text else value} || ',', '')"""
+
+
+def _json_object(*fields: str) -> str:
+    return "'{' || rtrim(" + " || ".join(fields) + ", ',') || '}'"
+
+
+_f = _json_field
+_ITEM = _json_object(
+    _f("item_id", "item_id"), _f("name", "name"), _f("description", "description"), _f("price", "CAST(price AS VARCHAR)", False), _f("currency", "'TRY'"), _f("original_image_url", "image"), _f("webp_image_url", "CASE WHEN image IS NOT NULL THEN '/media/' || item_id || '.webp' END"),
+    _f("is_available", "is_available"), _f("allergens", "CASE WHEN allergic THEN '[\"nuts\",\"milk\"]' ELSE '[]' END", False), _f("variants", "'[{\"name\":\"Half\",\"price\":' || CAST(price / 2 AS VARCHAR) || '}]'", False),
+)
+_DOCUMENT = _json_object(
+    _f("id", "id"), _f("google_place_id", "google_place_id"), _f("name", "name"), _f("primary_type", "primary_type"), _f("rating", "CAST(rating AS VARCHAR)", False), _f("user_ratings_total", "user_ratings_total"), _f("price_level", "price_level"),
+    _f("location", f"coalesce('{{\"type\":\"Point\",\"coordinates\":[' || {{lng}} || ',' || {{lat}} || '],\"latitude\":' || {{lat}} || ',\"longitude\":' || {{lng}} || '}}', 'null')".replace("{lng}", "CASE WHEN lng = 0.0005e0 THEN '5.0E-4' ELSE CAST(lng AS VARCHAR) END").replace("{lat}", "CAST(lat AS VARCHAR)"), False),
+    _f("address", _json_object(_f("formatted", "formatted"), _f("country", "country"), _f("city", "city"), _f("district", "district"), _f("postal_code", "postal_code")), False),
+    _f("contacts", _json_object(_f("phone_numbers", "phone_numbers"), _f("emails", "emails"), _f("website_url", "website_url"), _f("social_media", "'{\"instagram\":' || to_json(instagram) || '}'", False)), False),
+    _f("digital_presence", _json_object(_f("has_website", "has_website"), _f("has_qr_menu", "has_qr_menu"), _f("qr_menu_provider", "qr_menu_provider"), _f("qr_menu_url", "qr_url"), _f("supports_online_ordering", "supports_online_ordering"), _f("ordering_channels", "coalesce('[{\"name\":\"Getir\",\"url\":' || to_json(channel) || '}]', '[]')", False)), False),
+    _f("menu", "'{\"currency\":\"TRY\",\"categories\":[' || coalesce(categories, '') || ']}'", False), _f("categories", "kinds"), _f("opening_hours", "CASE WHEN hours IS NULL THEN '{}' ELSE '{\"weekday_text\":' || to_json(hours) || '}' END", False),
+    _f("plus_code", "plus_code"), _f("data_source", "data_source"), _f("provider", "provider"), _f("created_at", "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ')"), _f("updated_at", "strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ')"),
+)
+_JSON = f"""{_WIDE}, cats AS (
+  SELECT venue_id, cat_ord, '{{"category_id":' || to_json(any_value(category_id)) || ',"name":' || to_json(any_value(category)) || ',"items":[' || string_agg({_ITEM}, ',' ORDER BY ord) || ']}}' AS said FROM items GROUP BY venue_id, cat_ord
+), menus AS (SELECT venue_id, string_agg(said, ',' ORDER BY cat_ord) AS categories FROM cats GROUP BY 1)
+SELECT id, updated_at, {_DOCUMENT} AS json FROM wide LEFT JOIN menus ON id = venue_id"""
+
+
+def _tag(name: str, value: str, maybe: bool = False, raw: bool = False) -> str:
+    said = value if raw else _XML.format(x=f"({value})")
+    return f"coalesce('<{name}>' || nullif({said}, '') || '</{name}>', '{'' if maybe else f'<{name}></{name}>'}')"
+
+
+_all = lambda values, name: f"coalesce(array_to_string(list_transform({values}, lambda x: '<{name}>' || x || '</{name}>'), ''), '')"
+_XML_ITEM = " || ".join([
+    "'<item id=\"' || item_id || '\">'", _tag("name", "name"), _tag("description", "description", True), "'<price>' || printf('%.2f', price) || '</price>'", "CASE WHEN allergic THEN '<allergen>nuts</allergen><allergen>milk</allergen>' ELSE '' END",
+    "'<variant name=\"Half\">' || printf('%.2f', price / 2) || '</variant>'", "CASE WHEN image IS NULL THEN '' ELSE '<image_webp>/media/' || item_id || '.webp</image_webp>' END", "'<is_available>' || is_available || '</is_available></item>'",
+])
+_VENUE = " || ".join([
+    "'<venue id=\"' || id || '\">'", _tag("google_place_id", "google_place_id"), _tag("name", "name"), _tag("primary_type", "primary_type"), _tag("rating", _NUMBER.format(x="rating"), True),
+    f"coalesce('<location lat=\"' || {_CELLS[6]} || '\" lng=\"' || {_CELLS[7]} || '\">', '<location>')", _tag("address", "formatted", True), _tag("city", "city"), _tag("district", "district"), _tag("country", "country", True), "'</location><contacts>'",
+    _all("emails", "email"), _all("phone_numbers", "phone"), _tag("website", "website_url", True), "coalesce('<social platform=\"instagram\">' || instagram || '</social>', '')", "'</contacts><digital_presence>'",
+    *[f"'<{c}>' || {c} || '</{c}>'" for c in ("has_website", "has_qr_menu")], _tag("qr_provider", "qr_menu_provider"), _tag("qr_menu_url", "qr_url", True), "'<supports_online_ordering>' || supports_online_ordering || '</supports_online_ordering>'",
+    "coalesce('<ordering_channel name=\"Getir\">' || " + _XML.format(x="channel") + " || '</ordering_channel>', '')", "'</digital_presence>'", _tag("categories", _all("kinds", "category"), True, True), _tag("opening_hours", _all("hours", "day"), True, True),
+    _tag("plus_code", "plus_code", True), _tag("data_source", "data_source", True), "'<menu currency=\"TRY\">' || coalesce(categories, '') || '</menu></venue>'",
+])
+_ELEMENTS = f"""{_WIDE}, cats AS (
+  SELECT venue_id, cat_ord, '<category name="' || {_XML.format(x="any_value(category)")} || '" id="' || any_value(category_id) || '">' || string_agg({_XML_ITEM}, '' ORDER BY ord) || '</category>' AS said FROM items GROUP BY venue_id, cat_ord
+), menus AS (SELECT venue_id, string_agg(said, '' ORDER BY cat_ord) AS categories FROM cats GROUP BY 1)
+SELECT id, {_VENUE} AS xml FROM wide LEFT JOIN menus ON id = venue_id"""
+_AT = "2024-02-01T00:00:00.000Z"
+_ENVELOPE = f"""WITH d AS (SELECT * FROM ({_JSON}) ORDER BY updated_at DESC, id LIMIT 1000), n AS (SELECT count(*) AS n FROM d)
+SELECT 0 AS section, NULL::TIMESTAMP AS updated_at, '' AS id, '{{"status":"success","generated_at":"{_AT}","count":' || n || ',"venues":[' AS line FROM n UNION ALL SELECT 2, NULL, '', ']}}'
+UNION ALL SELECT 1, updated_at, id, CASE WHEN row_number() OVER (ORDER BY updated_at DESC, id) > 1 THEN ',' ELSE '' END || json FROM d"""
 
 
 def _fan(s, d):
@@ -156,8 +260,10 @@ concat_ws(',', CASE WHEN lat IS NULL THEN 'location' END, CASE WHEN len(phone_nu
 CASE WHEN k % 3 <> 0 THEN created_at END AS created_at, CASE WHEN k % 2 = 0 THEN updated_at + INTERVAL 1 DAY ELSE updated_at END AS updated_at FROM venues WHERE k % 3 <> 0 OR k % 2 = 0""",
     ),
     "export_csv": (lambda s, d: export.csv_lines(_exported(s, d)), _CSV),
-    "export_json": (lambda s, d: export.json_lines(_exported(s, d)), None),
-    "export_xml": (lambda s, d: export.xml_elements(_exported(s, d)), None),
+    "export_json": (lambda s, d: export.json_lines(_exported(s, d)), f"SELECT id, json FROM ({_JSON})"),
+    "export_xml": (lambda s, d: export.xml_elements(_exported(s, d)), _ELEMENTS),
+    "export_document": (lambda s, d: export.document(export.listing(_exported(s, d)), "json", _AT), _ENVELOPE),
+    "upsert_nulls": (_upserted_nulls, _UPSERT_NULLS),
     "job_dedup": (lambda s, d: jobs.dedup(job_events(s, d)), f"{_J} SELECT place_id, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM jobs WHERE state = 'queued' GROUP BY 1"),
     "job_counts": (lambda s, d: jobs.counts(job_events(s, d)), f"{_J} SELECT state, count(*) AS n FROM jobs GROUP BY 1"),
     "rate_window": (lambda s, d: jobs.rate_windows(job_events(s, d), 3600, 15), f"{_J} SELECT date_trunc('hour', ts) AS start, count(*) AS n, greatest(0, count(*) - 15) AS over FROM jobs GROUP BY 1"),

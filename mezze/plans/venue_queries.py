@@ -48,7 +48,7 @@ hits AS (SELECT id, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lng < x1 + (la
 SELECT id, name, city FROM venues JOIN hits USING (id) WHERE n % 2 = 1 ORDER BY id LIMIT 100"""
 
 
-_ALL = VenueFilter(city="", has_website="yes", has_email=True, min_rating=2.0, status="completed")
+_ALL = VenueFilter(city="", has_website="yes", has_email=True, min_rating=2.0, status="failed")
 _SUMMARY = f"""{_WITH}, {MENU_ROWS}, t AS (
   SELECT count(*) AS total, count(*) FILTER (has_website) AS with_website, count(*) FILTER (has_qr_menu) AS with_qr_menu, count(*) FILTER (supports_online_ordering) AS with_online_ordering,
     count(*) FILTER (len(emails) > 0) AS with_email, floor(avg(rating) * 100 + 0.5e0) / 100e0 AS avg_rating FROM venues
@@ -70,7 +70,7 @@ QUERIES = {
     "filter_has_email": (_filtered(has_email="no"), _where("len(emails) = 0")),
     "filter_min_rating": (_filtered(min_rating=4.5), _where("rating >= 4.5e0")),
     "filter_q": (_filtered(q="ER#00000001"), _where("contains(lower(name), 'er#00000001')")),
-    "filter_all": (lambda s, d: _IDS(venues(s, d).filter(_ALL.condition())), _where("has_website AND len(emails) > 0 AND rating >= 2e0 AND status = 'completed'")),
+    "filter_all": (lambda s, d: _IDS(venues(s, d).filter(_ALL.condition())), _where("has_website AND len(emails) > 0 AND rating >= 2e0 AND status = 'failed'")),
     "list_page": (lambda s, d: _flat(ops.list_venues(venues(s, d), VenueFilter(has_website=True), page=3, limit=25)), f"{_WITH} SELECT {_COLUMNS} FROM venues WHERE has_website ORDER BY updated_at DESC, id LIMIT 25 OFFSET 50"),
     "list_sorted": (lambda s, d: _flat(ops.list_venues(venues(s, d), VenueFilter(), limit=200, sort="rating", order="asc")), f"{_WITH} SELECT {_COLUMNS} FROM venues ORDER BY rating ASC NULLS LAST, id LIMIT 200"),
     "list_total": (lambda s, d: ops.list_total(venues(s, d), VenueFilter(has_website=True)), f"{_WITH} SELECT count(*) AS total, ceil(count(*) / 20e0)::BIGINT AS pages FROM venues WHERE has_website"),
