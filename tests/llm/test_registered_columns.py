@@ -87,7 +87,8 @@ def nearest(sizes, goal):
             bits |= bits << part * s
             n -= part
             part *= 2
-    return min(abs(w - goal) for w in range(max(0, goal - 200_000), min(sum(sizes), goal + 200_000) + 1) if bits >> w & 1)
+    below, above = bits & ((1 << (goal + 1)) - 1), bits >> goal
+    return min(goal - (below.bit_length() - 1), (above & -above).bit_length() - 1 if above else goal)
 
 
 def mixed(rows, docs):
