@@ -257,3 +257,35 @@ def normalize_link(href: Column, base: Column) -> Column:
     same = (host(authority(own)) == host(authority(part(base, 2)))) & (host(authority(own)) != "") & (part(base, 1) != "")
     page = F.regexp_replace(page, r"(?i)/index\.(html?|php|aspx?)$", "/")
     return F.when(same & ~other & ~asset, F.concat(scheme, F.lit("//"), authority(own), page, asked))
+
+
+def resolve_link(href: Column, base: Column) -> Column:
+    """A link as its page means it, on any host: an absolute address, with its fragment; other schemes stay as they are."""
+    part = lambda c, nth: F.regexp_extract(c, r"(?i)^(https?:)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$", nth)
+    h = F.trim(href)
+    scheme = F.lower(F.coalesce(F.nullif(part(h, 1), F.lit("")), part(base, 1)))
+    absolute = F.regexp_like(h, F.lit("(?i)^(https?:)?//"))
+    host = lambda c: F.concat(F.regexp_extract(c, "^(.*@)?", 1), F.regexp_replace(F.lower(F.regexp_replace(c, "^.*@", "")), F.when(scheme == "https:", ":443$").otherwise(":80$"), F.lit("")))
+    own, path, query = F.when(absolute, part(h, 2)).otherwise(part(base, 2)), part(h, 3), part(h, 4)
+    merged = F.when(absolute | path.startswith("/"), path).when(path == "", part(base, 3)).otherwise(F.concat(F.regexp_replace(part(base, 3), "[^/]*$", ""), path))
+    asked = F.when(absolute | (path != "") | (query != ""), query).otherwise(part(base, 4))
+    other = F.regexp_like(h, F.lit("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"))
+    return F.when(other | (own == ""), h).otherwise(F.concat(scheme, F.lit("//"), host(own), _resolved(merged), asked, part(h, 5)))
+
+
+def goes_somewhere(url: Column) -> Column:
+    """Whether an address has a path or a query: a platform's bare home page is no one's menu."""
+    return F.regexp_like(url, F.lit(r"(?i)^https?://[^/?#]*(/[^?#]|/?\?[^#])")) | F.regexp_like(url, F.lit("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:.."))
+
+
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
+def clean_extracted_url(raw: Column) -> Column:
+    """An address cut from a script: without backslashes, out of a redirect's `u`, percent-decoded twice."""
+    x = F.replace(raw, F.lit("\\"), F.lit(""))
+    target = _decoded(F.nullif(F.regexp_extract(x, r"[?&]u=([^&#]*)", 1), F.lit("")))
+    x = F.when(F.contains(x, F.lit("instagram.com")), F.coalesce(target, x)).otherwise(x)
+    x = F.regexp_replace(F.regexp_replace(x, "(?i)u0025", "%"), "(?i)u002f", "/")
+    return F.trim(_decoded(_decoded(x)))

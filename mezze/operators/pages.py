@@ -140,6 +140,53 @@ def site_scan(pages: DataFrame) -> DataFrame:
     )
 
 
+SELF_HOSTED = "Self-hosted"
+
+
+def _head(values: Column) -> Column:
+    return F.get(values, F.lit(0))
+
+
+def menu_platforms(pages: DataFrame) -> DataFrame:
+    """page_id, has_qr_menu, qr_menu_provider, qr_menu_url, ordering_channels (name, url) of pages (page_id, url, html).
+
+    Platforms are asked in order. A page that lies on one is the menu itself. Else a platform's address is that of the
+    first link to more than its home page, or the first address in the page's text, as scripts have it. The first platform
+    with an address is the page's; without one the last platform found gives its name. Without any, a link to a menu on
+    the page's own site counts. A channel's address is its first link, or the page. A page without html is judged by its
+    url. All is said by column functions, row by row: nothing is shuffled.
+    """
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    plain = lambda c: F.filter(c, lambda x: x.isNotNull())
+    once = lambda df, *columns: df.select("page_id", "html", "url", F.inline(F.array(F.struct(*columns))))  # noqa: E731  a generator: what it makes is not worked out again by each rule
+    p = pages.select("page_id", html.alias("html"), url.alias("url"))
+    p = once(
+        p, plain(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>"), F.lit(0)), lambda t: attribute(t, "href"))).alias("hrefs"),
+        F.transform(F.regexp_extract_all("html", F.lit(r"(?i)https?:\\?/\\?/[^\"'\s<>]+"), F.lit(0)), lambda x: F.struct(x.alias("href"), scalars.clean_extracted_url(x).alias("url"))).alias("texts"),
+    )
+    at = F.transform("hrefs", lambda h: F.struct(h.alias("href"), scalars.resolve_link(h, F.col("url")).alias("url")))
+    p = once(p, at.alias("links"), "texts")
+    holds = lambda c, pattern: F.regexp_like(c, F.lit(f"(?iu){pattern}"))
+    fit = lambda name, pattern: _head(F.filter(name, lambda x: holds(x["href"], pattern) & scalars.goes_somewhere(x["url"])))
+
+    def found(name: str, pattern: str) -> Column:
+        own, said = holds(F.col("url"), pattern), _head(F.filter("texts", lambda x: holds(x["href"], pattern)))["url"]
+        menu = F.when(own, F.col("url")).otherwise(F.coalesce(scalars.clean_extracted_url(fit("links", pattern)["url"]), F.when(scalars.goes_somewhere(said), said)))
+        return F.when(own | holds(F.col("html"), pattern), F.struct(F.lit(name).alias("name"), menu.alias("url")))
+
+    def channel(name: str, pattern: str) -> Column:
+        link = _head(F.filter("links", lambda x: holds(x["href"], pattern) | holds(F.concat(F.lit('href="'), x["href"], F.lit('"')), pattern)))
+        return F.when(holds(F.col("html"), pattern), F.struct(F.lit(name).alias("name"), F.coalesce(link["url"], F.col("url")).alias("url")))
+
+    menu_link = _head(F.filter("links", lambda x: holds(x["href"], r"/(menu|menu-?list|menuler|menü)(?![A-Za-z0-9_])")))
+    own = F.when(menu_link.isNotNull(), F.struct(F.lit(SELF_HOSTED).alias("name"), menu_link["url"].alias("url")))
+    listed = lambda make, rules: F.array_compact(F.array(*[make(*r) for r in rules]))
+    p = once(p, listed(found, QR_PLATFORMS).alias("found"), listed(channel, ORDER_CHANNELS).alias("channels"), own.alias("own"))
+    named = F.coalesce(_head(F.filter("found", lambda f: f["url"].isNotNull())), F.try_element_at("found", F.lit(-1)), "own")
+    chosen = p.select("page_id", named.alias("menu"), "channels")
+    return chosen.select("page_id", F.col("menu").isNotNull().alias("has_qr_menu"), F.col("menu.name").alias("qr_menu_provider"), F.col("menu.url").alias("qr_menu_url"), F.col("channels").alias("ordering_channels"))
+
+
 def opening_lines(pages: DataFrame) -> DataFrame:
     """page_id, hours: lines of at most 90 characters with a weekday and a range of times, distinct, 14 at most."""
     lines = F.transform(F.split(F.regexp_replace("html", r"(?i)<(br|/p|/li|/tr|/div|/h[1-6])\b[^>]*>", "\n"), "\n"), text_of)

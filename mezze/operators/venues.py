@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,6 @@ from pyspark.sql import functions as F
 
 EARTH_M = 6371000.0
 SORTS = ("updated_at", "created_at", "rating", "name", "user_ratings_total")
-#: Degrees of one cell of the grid that near points share.
-CELL = 0.5
 
 
 @dataclass
@@ -96,16 +95,23 @@ def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
     """Great-circle metres by the haversine formula."""
     half = lambda a, b: F.pow(F.sin(F.radians(a - b) / 2), 2)
     a = half(lat2, lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng2, lng1)
-    return 2 * EARTH_M * F.asin(F.sqrt(a))
+    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
 def around(lat0: float, lng0: float, radius_m: float) -> Column:
-    """Bounding box of a circle: a cheap test that reaches the scan before the exact one."""
-    import math
-
+    """Bounding box of a circle: a cheap test that reaches the scan before the exact one; it may go across the 180th meridian."""
     d = math.degrees(radius_m / EARTH_M) * 1.001
-    wide = 180.0 if abs(lat0) + d >= 90 else math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat0)))))
-    return lat().between(lat0 - d, lat0 + d) & lng().between(lng0 - wide, lng0 + wide)
+    within = lat().between(lat0 - d, lat0 + d)
+    if abs(lat0) + d >= 90:  # a pole lies in the circle, and so may any longitude
+        return within
+    wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat0)))))
+    west, east = lng0 - wide, lng0 + wide
+    box = lng().between(west, east)
+    if west < -180:
+        box |= lng() >= west + 360
+    if east > 180:
+        box |= lng() <= east - 360
+    return within & box
 
 
 def nearby(venues: DataFrame, lat0: float, lng0: float, radius_m: float = 2000, limit: int = 50) -> DataFrame:
@@ -119,19 +125,21 @@ def nearby(venues: DataFrame, lat0: float, lng0: float, radius_m: float = 2000,
 def nearest_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """id, other_id, distance_m of venues on either side within the radius: an equi-join on grid cells, then the exact test.
 
-    Each right-hand row stands in the cells its circle reaches, so no pair is missed; for radii up to tens of kilometres
-    between the polar circles.
+    The grid cuts space, not the map: points of the unit sphere lie in cubes of twice the chord that the radius spans, so
+    there are no edges at poles and meridians, and cells are as large as the radius asks. A right-hand point stands in the
+    cubes that its ball reaches, eight at most. Points that share a cube lie within a few radii of each other, however
+    dense a city is: a share of the pairs that meet, which does not depend on the data, are results.
     """
-    import math
-
-    cell = lambda x: F.floor(x / CELL)
-    reach_lat = math.degrees(radius_m / EARTH_M) * 1.01
-    a = left.select(F.col("id"), lat().alias("lat1"), lng().alias("lng1")).withColumns({"cy": cell(F.col("lat1")), "cx": cell(F.col("lng1"))})
-    b = right.select(F.col("id").alias("other_id"), lat().alias("lat2"), lng().alias("lng2")).filter("lat2 IS NOT NULL")
-    wide = F.least(F.lit(180.0), F.lit(reach_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat2") + reach_lat))))
-    ys = F.explode(F.sequence(cell(F.col("lat2") - reach_lat), cell(F.col("lat2") + reach_lat))).alias("cy")
-    b = b.select("*", ys).select("*", F.explode(F.sequence(cell(F.col("lng2") - wide), cell(F.col("lng2") + wide))).alias("cx"))
-    pairs = a.join(b, ["cy", "cx"]).filter("id <> other_id")
+    chord = 2 * math.sin(min(math.pi / 2, max(0.0, radius_m) / EARTH_M / 2)) * 1.000001 + 1e-12
+    x, y = F.radians("lng"), F.radians("lat")
+    place = {"x": F.cos(y) * F.cos(x), "y": F.cos(y) * F.sin(x), "z": F.sin(y)}
+    points = lambda df, name: df.select(F.col("id").alias(name), lat().alias("lat"), lng().alias("lng")).filter("lat IS NOT NULL AND lng IS NOT NULL")
+    cell = lambda c: F.floor(c / (2 * chord)).cast("long")
+    a = points(left, "id").select("id", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), *[cell(v).alias(f"c{k}") for k, v in place.items()])
+    b = points(right, "other_id").select("other_id", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), *[v.alias(k) for k, v in place.items()])
+    for k in place:
+        b = b.select("*", F.explode(F.sequence(cell(F.col(k) - chord), cell(F.col(k) + chord))).alias(f"c{k}"))
+    pairs = a.join(b, [f"c{k}" for k in place]).filter("id <> other_id")
     return pairs.select("id", "other_id", distance_m(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")).alias("distance_m")).filter(F.col("distance_m") <= radius_m)
 
 

@@ -29,6 +29,26 @@ def _menus(s):
     return _written(s).unionByName(s.createDataFrame([(4, "https://state.example/", STATE)], "page_id long, url string, html string"))
 
 
+#: What is put onto each page of the table by its number, and what the rules make of it: html, provider, url, channels.
+_SIGNS = (
+    ("<a href='https://Menulux.com/v{k}?a=1#top'>QR</a>", "'Menulux'", "'https://menulux.com/v' || k || '?a=1#top'", "''"),
+    ('<script>{{"u":"https:\\/\\/menu.finedine.co\\/v{k}"}}</script><a href="https://getir.com/yemek/{k}">G</a>', "'FineDine'", "'https://menu.finedine.co/v' || k", "'GetirYemek https://getir.com/yemek/' || k"),
+    ('<a href="/a/./b/../../menu/{k}">Menu</a> <a class=x href="/siparis/{k}">Order</a>', "'Self-hosted'", "origin || '/menu/' || k", "'Direct Web Order ' || origin || '/siparis/' || k"),
+    ('<a href="https://qrmatic.com/">powered by</a><a href=//qr.adisyo.com/?v={k}>m</a> deliveroo.com.tr', "'Adisyo'", "regexp_extract(url, '^[a-z]+:') || '//qr.adisyo.com/?v=' || k", "'Deliveroo ' || url"),
+    ('<a href="http://www.garsonum.com">powered by</a> dijitalmenu <b>', "'Sunmi/QRMenu'", "NULL", "''"),
+    ("https://l.instagram.com/?u=https%3A%2F%2Fqmenu.com%2Fv{k}&e=1 <a href='x.pdf'>p</a>", "'Qmenu'", "'https://qmenu.com/v' || k", "''"),
+    ("", "NULL", "NULL", "''"),
+)
+
+
+def _signed(s, d):
+    """The pages, each with one of the signs."""
+    sign = F.element_at(F.array(*[F.lit(x[0].format(k="{k}").replace("{{", "{").replace("}}", "}")) for x in _SIGNS]), (F.col("page_id") % len(_SIGNS) + 1).cast("int"))
+    return table(s, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.replace(sign, F.lit("{k}"), F.col("page_id").cast("string"))))
+
+
+_SIGNS_SQL = "WITH p AS (SELECT page_id, page_id AS k, url, regexp_extract(url, '^[a-z]+://[^/]*') AS origin FROM pages) SELECT page_id, {columns} FROM p"
+_by_sign = lambda nth: f"CASE page_id % {len(_SIGNS)} " + " ".join(f"WHEN {i} THEN {x[nth]}" for i, x in enumerate(_SIGNS)) + " END"
 _STATE_SQL = "SELECT 4::BIGINT AS page_id, category, name, price FROM (VALUES ('Kahveler', 'Latte', 95.5e0), ('Kahveler', 'Mocha', 105e0), ('Tatlılar', 'Sütlaç', 75.5e0), ('Fırın', 'Kek', 60e0)) t(category, name, price)"
 
 
@@ -104,6 +124,10 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
         lambda s, d: ops.menu_result(_menus(s)),
         f"SELECT 'state.example' AS venue_id, category, name, price, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 'barispide.com', category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
     ),
+    "menu_platforms": (
+        lambda s, d: ops.menu_platforms(_signed(s, d)).withColumn("ordering_channels", F.array_join(F.transform("ordering_channels", lambda c: F.concat_ws(" ", c["name"], c["url"])), "|")),
+        _SIGNS_SQL.format(columns=f"{_by_sign(1)} IS NOT NULL AS has_qr_menu, {_by_sign(1)} AS qr_menu_provider, {_by_sign(2)} AS qr_menu_url, {_by_sign(3)} AS ordering_channels"),
+    ),
     "qr_platform": (lambda s, d: ops.site_scan(_written(s)).select("page_id", "qr_platform"), "SELECT i::BIGINT AS page_id, q AS qr_platform FROM (VALUES (1, 'Menulux'), (2, NULL), (3, NULL)) t(i, q)"),
     "ordering_channels": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("ordering_channels").alias("channel")), "SELECT 1::BIGINT AS page_id, 'Yemeksepeti' AS channel"),
     "payment_methods": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("payment_methods").alias("method")), "SELECT 1::BIGINT AS page_id, unnest(['Sodexo', 'Visa', 'Nakit']) AS method"),

@@ -54,6 +54,15 @@ _SUMMARY = f"""{_WITH}, {MENU_ROWS}, t AS (
     count(*) FILTER (len(emails) > 0) AS with_email, floor(avg(rating) * 100 + 0.5e0) / 100e0 AS avg_rating FROM venues
 ) SELECT *, (SELECT count(*) FROM menu_rows SEMI JOIN venues ON venue_id = id) AS menu_items, CASE WHEN total > 0 THEN floor(100e0 * with_qr_menu / total * 10 + 0.5e0) / 10e0 ELSE 0e0 END AS qr_penetration FROM t"""
 
+def _globe(s, d):
+    """The venues moved to both sides of the 180th meridian, from pole to pole."""
+    k, wrapped = F.col("id").cast("long"), lambda x: F.when(x > 180, x - 360).otherwise(x)
+    point = F.array(wrapped((ops.lng() - 26) / 2 + 175), (ops.lat() - 36) * 30 - 90)
+    return venues(s, d).withColumn("location", F.when(ops.lat().isNotNull() & (k % 2 == 0), F.struct(F.lit("Point").alias("type"), point.alias("coordinates"))))
+
+
+_GLOBE = f"{_WITH}, globe AS (SELECT id, CASE WHEN (lng - 26) / 2 + 175 > 180 THEN (lng - 26) / 2 + 175 - 360 ELSE (lng - 26) / 2 + 175 END AS lng, (lat - 36) * 30 - 90 AS lat FROM venues WHERE lat IS NOT NULL AND k % 2 = 0)"
+
 QUERIES = {
     "stats_summary": (lambda s, d: ops.summary(venues(s, d), menu_rows(s, d).select("venue_id")), _SUMMARY),
     "stats_by_provider": (lambda s, d: ops.top_counts(venues(s, d), "digital_presence.qr_menu_provider", "provider"), f"{_WITH} SELECT qr_menu_provider AS provider, count(*) AS n FROM venues WHERE qr_menu_provider <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15"),
@@ -80,6 +89,14 @@ QUERIES = {
         lambda s, d: ops.nearest_pairs(venues(s, d), venues(s, d), 15_000).select("id", "other_id", F.round("distance_m", 3).alias("metres")),
         f"{_WITH}, p AS (SELECT a.id, b.id AS other_id, {_D.format(lat='a.lat', lng='a.lng').replace('(lat -', '(b.lat -').replace('radians(lat)', 'radians(b.lat)').replace('(lng -', '(b.lng -')} AS m FROM venues a JOIN venues b ON a.id <> b.id) SELECT id, other_id, round(m, 3) AS metres FROM p WHERE m <= 15000",
     ),
+    "nearest_pairs_globe": (
+        lambda s, d: ops.nearest_pairs(_globe(s, d), _globe(s, d), 150_000).select("id", "other_id", F.round("distance_m", 2).alias("metres")),
+        f"{_GLOBE}, p AS (SELECT a.id, b.id AS other_id, {_D.format(lat='a.lat', lng='a.lng').replace('(lat -', '(b.lat -').replace('radians(lat)', 'radians(b.lat)').replace('(lng -', '(b.lng -')} AS m FROM globe a JOIN globe b ON a.id <> b.id) SELECT id, other_id, round(m, 2) AS metres FROM p WHERE m <= 150000",
+    ),
+    "nearby_globe": (
+        lambda s, d: ops.nearby(_globe(s, d), -89.2, 179.95, radius_m=100_000).select("id", F.round("distance_m", 2).alias("metres")),
+        f"{_GLOBE}, m AS (SELECT id, {_D.format(lat='-89.2e0', lng='179.95e0')} AS m FROM globe) SELECT id, round(m, 2) AS metres FROM m WHERE m <= 100000 ORDER BY m, id LIMIT 50",
+    ),
     "within_bbox": (lambda s, d: _IDS(ops.within_bbox(venues(s, d), 30, 37, 36, 40)), _where("lng BETWEEN 30 AND 36 AND lat BETWEEN 37 AND 40 ORDER BY id LIMIT 100")),
     "within_polygon": (lambda s, d: _IDS(ops.within_polygon(venues(s, d), RING)), _polygon_sql()),
     "provider_radius": (lambda s, d: _IDS(ops.provider_radius(venues(s, d), *CENTRE, radius_m=200_000)), _where(f"lat IS NULL OR {_D.format(lat=f'{CENTRE[0]}e0', lng=f'{CENTRE[1]}e0')} <= 250000e0")),
