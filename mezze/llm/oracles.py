@@ -82,14 +82,14 @@ def _js(p: str, q: str) -> str:
     return f"sqrt(greatest(0e0, list_sum(list_transform(range(1, len({q}) + 1), lambda i: {term}))))"
 
 
-def quality_sql(min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200) -> str:
+def quality_sql(min_words: int = 50, max_repeat_percent: int = 50, most_words: float = 0.45, most_classes: float = 0.2, guard_words: int = 50, guard_chars: int = 200, most_share: float = 0.85, most_nearer: float = 0.15) -> str:
     refs = []
-    for lang, common in quality.COMMON.items():
+    for pos, (lang, common) in enumerate(quality.COMMON.items()):
         shares = [v / 100 for v in common.values()]
         classes = [v / sum(quality.CLASSES[lang]) for v in quality.CLASSES[lang]]
-        refs.append(f"('{lang}', {_list(common)}, {_list([*shares, 1 - sum(shares)])}, {_list(classes)})")
+        refs.append(f"('{lang}', {_list(common)}, {_list([*shares, 1 - sum(shares)])}, {_list(classes)}, {quality._without(lang)!r}e0, {pos})")
     return rf"""
-WITH refs(of, ref_words, ref_h, ref_c) AS (VALUES {', '.join(refs)}),
+WITH refs(of, ref_words, ref_h, ref_c, without, pos) AS (VALUES {', '.join(refs)}),
 d AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
@@ -106,26 +106,30 @@ m AS (
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(text) AS n_text,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits,
     length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g')) AS marks, length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS beyond,
-    ref_words, ref_h, ref_c,
-    list_filter(string_split_regex(lower(text), '{_GAPS}'), lambda x: x <> '') AS low
-  FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN refs ON lang = of
+    lang, list_filter(string_split_regex(lower(text), '{_GAPS}'), lambda x: x <> '') AS low
+  FROM d LEFT JOIN repeated USING (doc_id)
 ), c AS (
   SELECT *, list_transform(ref_words, lambda r: len(list_filter(low, lambda x: x = r))) AS named,
     [greatest(0, n_text - upper - beyond - digits - (n_text - word_chars) - marks - n_symbols), upper, beyond, digits, n_text - word_chars, marks, n_symbols] AS classes
-  FROM m
+  FROM m, refs
 ), p AS (
   SELECT *, list_transform(list_append(named, n_words - list_sum(named)), lambda x: x / greatest(n_words, 1)::DOUBLE) AS ph,
     list_transform(classes, lambda x: x / greatest(list_sum(classes), 1)::DOUBLE) AS pc
   FROM c
 ), v AS (
   SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS failed,
-    CASE WHEN n_words >= {guard_words} AND ref_h IS NOT NULL THEN {_js('ph', 'ref_h')} ELSE 0e0 END AS dw,
-    CASE WHEN n_text >= {guard_chars} AND ref_c IS NOT NULL THEN {_js('pc', 'ref_c')} ELSE 0e0 END AS dc
+    {_js('ph', 'ref_h')} AS dw, {_js('pc', 'ref_c')} AS dc
   FROM p
+), shared AS (SELECT *, dw / without AS share FROM v),
+judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_text, failed, min(share) AS least, coalesce(max(share) FILTER (lang = of), min(share)) AS share,
+    coalesce(max(dw) FILTER (lang = of), min_by(dw, (share, pos))) AS dw, coalesce(max(dc) FILTER (lang = of), min(dc)) AS dc
+  FROM shared GROUP BY ALL
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed, NOT failed AND dw <= {most_words}e0 AND dc <= {most_classes}e0 AS kept
-FROM v
+  n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed,
+  NOT failed AND (n_words < {guard_words} OR (dw <= {most_words}e0 AND share <= {most_share}e0 AND share - least <= {most_nearer}e0)) AND (n_text < {guard_chars} OR dc <= {most_classes}e0) AS kept
+FROM judged
 """
 
 
