@@ -278,14 +278,11 @@ def goes_somewhere(url: Column) -> Column:
     return F.regexp_like(url, F.lit(r"(?i)^https?://[^/?#]*(/[^?#]|/?\?[^#])")) | F.regexp_like(url, F.lit("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:.."))
 
 
-def _decoded(x: Column) -> Column:
-    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+def phone_item_id(item_id: Column) -> Column:
+    """The number in an id such as `phone:tel:+90 532 123 45 67`."""
+    return F.nullif(F.trim(found(item_id, r"(?i)phone:tel:(.+)$")), F.lit(""))
 
 
-def clean_extracted_url(raw: Column) -> Column:
-    """An address cut from a script: without backslashes, out of a redirect's `u`, percent-decoded twice."""
-    x = F.replace(raw, F.lit("\\"), F.lit(""))
-    target = _decoded(F.nullif(F.regexp_extract(x, r"[?&]u=([^&#]*)", 1), F.lit("")))
-    x = F.when(F.contains(x, F.lit("instagram.com")), F.coalesce(target, x)).otherwise(x)
-    x = F.regexp_replace(F.regexp_replace(x, "(?i)u0025", "%"), "(?i)u002f", "/")
-    return F.trim(_decoded(_decoded(x)))
+def strip_aria_prefix(label: Column) -> Column:
+    """A label without its prefix, up to 24 characters and a colon; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(label, r"^[^:]{1,24}:\s*", ""), r"^\s+|\s+$", ""), F.lit(""))

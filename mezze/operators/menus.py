@@ -76,6 +76,22 @@ def image_plan(items: DataFrame) -> DataFrame:
     return items.filter("image IS NOT NULL").select("image", url.alias("target_url"), F.concat(F.lit("img_"), F.md5(url), F.lit(".webp")).alias("file_name")).distinct()
 
 
+def pair_captions(posts: DataFrame, captions: DataFrame) -> DataFrame:
+    """venue_id, nth, image_url, text of all posts: a venue's k-th post without a text of its own gets its k-th caption.
+
+    Posts (venue_id, nth, image_url, text) whose text is missing or the site's stock phrase are without; the caption comes
+    after what they say. Captions are venue_id, nth, text. Those left over on either side stay unpaired.
+    """
+    said = F.coalesce("text", F.lit(""))
+    bare = (said == "") | F.contains(said, F.lit("Photo by")) | F.contains(said, F.lit("Video by"))
+    place = F.row_number().over(Window.partitionBy("venue_id").orderBy("nth"))
+    wanting = posts.filter(bare).withColumn("k", place)
+    given = captions.select(F.col("venue_id").alias("c_venue"), place.alias("c_k"), F.col("text").alias("caption"))
+    paired = wanting.join(given, F.col("venue_id").eqNullSafe(F.col("c_venue")) & (F.col("k") == F.col("c_k")), "left")
+    text = F.when(F.col("caption").isNotNull(), F.concat(said, F.lit(" "), F.col("caption"))).otherwise(said)
+    return paired.select("venue_id", "nth", "image_url", text.alias("text")).unionByName(posts.filter(~bare).select("venue_id", "nth", "image_url", "text"))
+
+
 def match_photos(items: DataFrame, posts: DataFrame) -> DataFrame:
     """venue_id, ord, name, photo: items without an image and the first of their venue's posts that tells of them.
 

@@ -117,6 +117,38 @@ def profile_names(pages: DataFrame) -> DataFrame:
     return titles(pages).join(named, "page_id", "left").select("page_id", F.coalesce("own", "name").alias("name"))
 
 
+def currency_of_site(pages: DataFrame, site: str = "site", order: str = "page_id", text: str = "html", default: str = "TRY") -> DataFrame:
+    """site, currency: what the first page that states one says, in order; an aggregation that combines before the shuffle."""
+    code = scalars.detect_currency(F.col(text), None)
+    first = pages.select(site, F.col(order).alias("_at"), code.alias("_code")).groupBy(site).agg(F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("_at"))).alias("code"))
+    return first.select(site, F.coalesce("code", F.lit(default)).alias("currency"))
+
+
+def stored_files(spark, path: str) -> DataFrame:
+    """stem, bytes of the files under a path or pattern: names without folder and ending; contents are not read."""
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return stored.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), F.col("length").alias("bytes"))
+
+
+def image_savings(originals: DataFrame, converted: DataFrame) -> DataFrame:
+    """stem, original_bytes, webp_bytes, converted, bytes_saved, savings_percent of two listings (stem, bytes), joined by stem.
+
+    An image without a converted file counts as not converted and saves nothing, nor does one whose size is unknown or 0.
+    """
+    small = converted.select("stem", F.col("bytes").alias("webp_bytes"))
+    both = originals.select("stem", F.col("bytes").alias("original_bytes")).join(small, "stem", "left")
+    known = (F.col("original_bytes") > 0) & (F.col("webp_bytes") > 0)
+    percent = (F.col("original_bytes") - F.col("webp_bytes")) / F.when(F.col("original_bytes") > 0, F.col("original_bytes")) * 100
+    done = F.col("webp_bytes").isNotNull()
+    saved = F.when(known, F.col("original_bytes") - F.col("webp_bytes")).otherwise(0)
+    return both.select("stem", "original_bytes", "webp_bytes", done.alias("converted"), saved.alias("bytes_saved"), F.when(done, F.coalesce(F.floor(percent * 10 + 0.5) / 10, F.lit(0.0))).alias("savings_percent"))
+
+
+def image_totals(savings: DataFrame) -> DataFrame:
+    """images, images_converted, bytes_saved of all images."""
+    return savings.agg(F.count("*").alias("images"), F.count_if("converted").alias("images_converted"), F.coalesce(F.sum("bytes_saved"), F.lit(0)).alias("bytes_saved"))
+
+
 def image_storage(spark, path: str) -> DataFrame:
     """files, bytes of stored images under a path or pattern; contents are not read."""
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -162,7 +194,7 @@ def menu_platforms(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", html.alias("html"), url.alias("url"))
     p = once(
         p, plain(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>"), F.lit(0)), lambda t: attribute(t, "href"))).alias("hrefs"),
-        F.transform(F.regexp_extract_all("html", F.lit(r"(?i)https?:\\?/\\?/[^\"'\s<>]+"), F.lit(0)), lambda x: F.struct(x.alias("href"), scalars.clean_extracted_url(x).alias("url"))).alias("texts"),
+        F.transform(F.regexp_extract_all("html", F.lit(r"(?i)https?:\\?/\\?/[^\"'\s<>]+"), F.lit(0)), lambda x: F.struct(x.alias("href"), scalars.clean_url(x).alias("url"))).alias("texts"),
     )
     at = F.transform("hrefs", lambda h: F.struct(h.alias("href"), scalars.resolve_link(h, F.col("url")).alias("url")))
     p = once(p, at.alias("links"), "texts")
@@ -171,7 +203,7 @@ def menu_platforms(pages: DataFrame) -> DataFrame:
 
     def found(name: str, pattern: str) -> Column:
         own, said = holds(F.col("url"), pattern), _head(F.filter("texts", lambda x: holds(x["href"], pattern)))["url"]
-        menu = F.when(own, F.col("url")).otherwise(F.coalesce(scalars.clean_extracted_url(fit("links", pattern)["url"]), F.when(scalars.goes_somewhere(said), said)))
+        menu = F.when(own, F.col("url")).otherwise(F.coalesce(scalars.clean_url(fit("links", pattern)["url"]), F.when(scalars.goes_somewhere(said), said)))
         return F.when(own | holds(F.col("html"), pattern), F.struct(F.lit(name).alias("name"), menu.alias("url")))
 
     def channel(name: str, pattern: str) -> Column:

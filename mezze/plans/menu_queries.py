@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mezze.operators import menus as ops
+from mezze.operators import pages
 from mezze.plans.views import LINES, MENU_ROWS, line_stream, menu_rows, table
 
 _WITH = f"WITH {MENU_ROWS}"
@@ -42,9 +43,32 @@ hits AS (SELECT i.venue_id, ord, name, min_by(image_url, nth) AS photo FROM item
 SELECT * FROM hits"""
 
 
-def _image_stats(s, d):
-    plan = ops.image_plan(menu_rows(s, d))
-    return plan.agg(F.count("*").alias("images"), F.count_distinct("file_name").alias("files"))
+def _image_sizes(s, d):
+    """Two listings: every image as fetched, and three quarters of them as converted, some of those larger than before."""
+    plan = ops.image_plan(menu_rows(s, d)).select(F.regexp_extract("file_name", "^(.*)[.]webp$", 1).alias("stem"), F.regexp_extract("image", "/([0-9]+)[.]jpg", 1).cast("long").alias("k"))
+    originals = plan.select("stem", F.when(F.col("k") % 10 == 0, 0).otherwise(F.col("k") * 977 % 50_000 + 100).cast("long").alias("bytes"))
+    converted = plan.filter("k % 4 <> 0").select("stem", (F.col("k") * 311 % 20_000).cast("long").alias("bytes"))
+    return pages.image_savings(originals, converted)
+
+
+_SIZES = f"""{_WITH}, k AS (SELECT DISTINCT regexp_extract(image, '/([0-9]+)[.]jpg', 1)::BIGINT AS k, 'img_' || md5('https://img.example/w_800,h_800,q_90/' || regexp_extract(image, '/([0-9]+)[.]jpg', 1) || '.jpg?w=800&q=90') AS stem FROM menu_rows WHERE image IS NOT NULL),
+b AS (SELECT stem, CASE WHEN k % 10 = 0 THEN 0 ELSE k * 977 % 50000 + 100 END AS original_bytes, CASE WHEN k % 4 <> 0 THEN k * 311 % 20000 END AS webp_bytes FROM k),
+sizes AS (SELECT *, webp_bytes IS NOT NULL AS converted, CASE WHEN original_bytes > 0 AND webp_bytes > 0 THEN original_bytes - webp_bytes ELSE 0 END AS bytes_saved,
+  CASE WHEN webp_bytes IS NOT NULL THEN CASE WHEN original_bytes > 0 THEN floor((original_bytes - webp_bytes) / original_bytes::DOUBLE * 100e0 * 10e0 + 0.5e0) / 10e0 ELSE 0e0 END END AS savings_percent FROM b)"""
+
+
+def _captions(s, d):
+    """Posts of menu items, a third of them without a text and some with a stock phrase, and the names of other items as captions."""
+    rows = menu_rows(s, d)
+    text = F.when(F.col("ord") % 3 == 0, F.lit(None).cast("string")).when(F.col("ord") % 3 == 1, F.concat(F.lit("Photo by "), F.col("venue_id"))).otherwise(F.col("name"))
+    posts = rows.filter("ord % 4 = 0").select("venue_id", F.col("ord").alias("nth"), F.concat(F.lit("https://p.example/"), F.col("ord").cast("string")).alias("image_url"), text.alias("text"))
+    return ops.pair_captions(posts, rows.filter("ord % 9 = 0").select("venue_id", F.col("ord").alias("nth"), F.col("name").alias("text")))
+
+
+_CAPTIONS = f"""{_WITH}, posts AS (SELECT venue_id, ord AS nth, 'https://p.example/' || ord AS image_url, CASE WHEN ord % 3 = 0 THEN NULL WHEN ord % 3 = 1 THEN 'Photo by ' || venue_id ELSE name END AS text FROM menu_rows WHERE ord % 4 = 0),
+p AS (SELECT *, CASE WHEN text IS NULL OR contains(text, 'Photo by') THEN row_number() OVER (PARTITION BY venue_id, text IS NULL OR contains(text, 'Photo by') ORDER BY nth) END AS k FROM posts),
+c AS (SELECT venue_id, name, row_number() OVER (PARTITION BY venue_id ORDER BY ord) AS k FROM menu_rows WHERE ord % 9 = 0)
+SELECT p.venue_id, nth, image_url, CASE WHEN c.name IS NOT NULL THEN coalesce(text, '') || ' ' || c.name ELSE coalesce(text, '') END AS text FROM p LEFT JOIN c ON p.venue_id = c.venue_id AND p.k = c.k"""
 
 
 def _nested(s, d):
@@ -91,6 +115,8 @@ SELECT venue_id, count(DISTINCT m.category) AS n_categories, count(*) AS n_items
         lambda s, d: ops.image_plan(menu_rows(s, d)),
         f"{_WITH}, t AS (SELECT DISTINCT image, regexp_replace(regexp_replace(regexp_replace(image, '([?&])w=[0-9]+', '\\1w=800'), '([?&])q=[0-9]+', '\\1q=90'), '/w_[0-9]+,h_[0-9]+/', '/w_800,h_800,q_90/') AS target_url FROM menu_rows WHERE image IS NOT NULL) SELECT *, 'img_' || md5(target_url) || '.webp' AS file_name FROM t",
     ),
-    "image_stats": (_image_stats, f"{_WITH} SELECT count(DISTINCT image) AS images, count(DISTINCT image) AS files FROM menu_rows"),
+    "image_savings": (_image_sizes, f"{_SIZES} SELECT stem, original_bytes, webp_bytes, converted, bytes_saved, savings_percent FROM sizes"),
+    "image_stats": (lambda s, d: pages.image_totals(_image_sizes(s, d)), f"{_SIZES} SELECT count(*) AS images, count(*) FILTER (converted) AS images_converted, coalesce(sum(bytes_saved), 0)::BIGINT AS bytes_saved FROM sizes"),
+    "caption_pairs": (_captions, _CAPTIONS),
     "photo_match": (lambda s, d: ops.match_photos(menu_rows(s, d), _posts(s, d)).distinct(), _photos_sql()),
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mezze.functions import scalars
+from mezze.operators.pages import currency_of_site
 from mezze.operators.venues import radius_zoom
 from mezze.plans.views import LINES, VENUES, line_stream, table, venues
 
 PRICES = ("₺110,00", "110.00 TL", "1.250,50", "1,250.50", "1250", "1.250", "12 000,5 €", "free", "0,00", "$ 7.5", "1.234.567,8", "EUR 20", "£3")
+ARIA = ("Address: Moda Cad. 1", "Adres:  Kadıköy/İstanbul ", "phone:tel:+90 532 123 45 67", "PHONE:TEL: 0216 1", "phone:tel:", "a label that is much too long: kept", "Name:", ": x", "12:30 - 14:00", "")
 RATINGS = ("4.7", "4,7", "5 stars", "6.1", "0", "none", "(1.840)", "150 reviews", "12,345 yorum", "4.2", "4.2 stars", "3 yıldız")
 PHONES = ("+90 532 123 45 67", "0532 123 45 67", "905321234567", "5321234567", "1321234567", "+49 30 1234567", "+12", "tel", "0(312) 123 45 67", "90123")
 EMAILS = ("info@venue.com.tr", "ornek@sitem.com", "a1b2c3d4e5f60718@x.io", "noreply@x.com", "img@2x.png", "x@sentry.io", " Mixed@Case.ORG ", "no at", "örnek@sitem.com", "name@yoursite.net")
@@ -131,6 +133,14 @@ QUERIES = {
     "parse_price": (_over(PRICES, price=scalars.parse_price), f"{_input(PRICES)} SELECT i, {_price_sql('x')} AS price FROM input"),
     "parse_price_strict": (_alone(PRICES, price=lambda x: scalars.parse_price(x, strict=True)), "SELECT i::BIGINT AS i, price FROM (VALUES (0, 110e0), (1, 110e0), (2, 1250.5e0), (3, 1250.5e0), (4, 1250e0), (5, 1.25e0), (6, 12000.5e0), (7, NULL), (8, NULL), (9, 7.5e0), (10, 1234567.8e0), (11, 20e0), (12, 3e0)) t(i, price)"),
     "detect_currency": (_over(PRICES, currency=scalars.detect_currency, stated=lambda x: scalars.detect_currency(x, None)), f"{_input(PRICES)} SELECT i, {_currency_sql('x', chr(39) + 'TRY' + chr(39))} AS currency, {_currency_sql('x', 'NULL')} AS stated FROM input"),
+    "currency_of_site": (
+        lambda s, d: currency_of_site(table(s, d, "documents"), "source", "doc_id", "text"),
+        f"WITH t AS (SELECT source, doc_id, {_currency_sql('text', 'NULL')} AS code FROM documents) SELECT source, coalesce(min_by(code, doc_id) FILTER (code IS NOT NULL), 'TRY') AS currency FROM t GROUP BY source",
+    ),
+    "aria_labels": (
+        _over(ARIA, label=scalars.strip_aria_prefix, phone=scalars.phone_item_id),
+        rf"{_input(ARIA)} SELECT i, nullif(regexp_replace(regexp_replace(x, '^[^:]{{1,24}}:[\s\x0B]*', ''), '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), '') AS label, nullif(trim(regexp_extract(x, '(?i)phone:tel:(.+)$', 1), ' '), '') AS phone FROM input",
+    ),
     "parse_rating": (_over(RATINGS, rating=scalars.parse_rating), f"{_input(RATINGS)} SELECT i, CASE WHEN {_RATING} > 0 AND {_RATING} <= 5 THEN {_RATING} END AS rating FROM input"),
     "parse_reviews": (_over(RATINGS, reviews=scalars.parse_reviews), rf"{_input(RATINGS)} SELECT i, CASE WHEN NOT regexp_matches(x, '(?i)star|yıldız') AND NOT regexp_matches({_DIGITS}, '^[0-9]+[.,][0-9]$') THEN try_cast(regexp_replace({_DIGITS}, '[.,]', '', 'g') AS BIGINT) END AS reviews FROM input"),
     "normalize_phone": (_over(PHONES, phone=scalars.normalize_phone), f"{_input(PHONES)} SELECT i, {_phone_sql('x')} AS phone FROM input"),
