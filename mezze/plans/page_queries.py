@@ -49,6 +49,22 @@ def _signed(s, d):
 
 _SIGNS_SQL = "WITH p AS (SELECT page_id, page_id AS k, url, regexp_extract(url, '^[a-z]+://[^/]*') AS origin FROM pages) SELECT page_id, {columns} FROM p"
 _by_sign = lambda nth: f"CASE page_id % {len(_SIGNS)} " + " ".join(f"WHEN {i} THEN {x[nth]}" for i, x in enumerate(_SIGNS)) + " END"
+_LD = """<script type="application/ld+json">{"@type": "Restaurant", "name": "Site {k}", "telephone": "+90 212 {k}", "address": {"streetAddress": "Street {k}", "addressLocality": "Town"}, "geo": {"latitude": 40.5, "longitude": 29.25},
+"hasMenu": {"@type": "Menu", "hasMenuSection": [{"name": "Food", "hasMenuItem": [{"name": "Dish {k}", "offers": {"price": "{k},50", "priceCurrency": "TRY"}}, {"name": "Free {k}"}]}]}}</script><p>Sodexo, Troy</p><a href="https://menulux.com/v">m</a>"""
+_APP = """<script id="__NEXT_DATA__" type="application/json">{"menu": {"categories": [{"name": "Hot", "products": [{"name": "Tea {k}", "price": 5.5}, {"name": "Soup {k}", "price": "{k},25 TL"}]}]}}</script> <p>Nakit</p> <a href="https://www.ubereats.com/x">u</a>"""
+
+
+def _stocked(s, d, written):
+    """The pages written here, and those of the table under ids from 1000 on, a third with structured data, a third with state."""
+    k = F.col("page_id")
+    block = F.replace(F.when(k % 3 == 0, F.lit(_LD)).when(k % 3 == 1, F.lit(_APP)).otherwise(F.lit("")), F.lit("{k}"), k.cast("string"))
+    pages = table(s, d, "pages").select((k + 1000).alias("page_id"), "url", F.concat(F.coalesce("html", F.lit("")), block).alias("html"))
+    return written(s).unionByName(pages)
+
+
+_ON = "FROM (SELECT page_id + 1000 AS page_id, page_id AS k FROM pages) WHERE k % 3 = "
+_APP_SQL = f"SELECT page_id, 'Hot' AS category, 'Tea ' || k AS name, 5.5e0 AS price {_ON}1 UNION ALL SELECT page_id, 'Hot', 'Soup ' || k, CAST(k AS DOUBLE) + 0.25e0 {_ON}1"
+_LD_SQL = f"SELECT page_id, 'Food' AS category, 'Dish ' || k AS name, CAST(k AS DOUBLE) + 0.5e0 AS price {_ON}0 UNION ALL SELECT page_id, 'Food', 'Free ' || k, 0e0 {_ON}0"
 _STATE_SQL = "SELECT 4::BIGINT AS page_id, category, name, price FROM (VALUES ('Kahveler', 'Latte', 95.5e0), ('Kahveler', 'Mocha', 105e0), ('Tatlılar', 'Sütlaç', 75.5e0), ('Fırın', 'Kek', 60e0)) t(category, name, price)"
 
 
@@ -109,17 +125,15 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
     "profile_hours": (lambda s, d: _joined(ops.opening_lines(_written(s).filter("html IS NOT NULL")), "hours"), "SELECT i::BIGINT AS page_id, hours FROM (VALUES (1, 'Pazartesi - Cuma: 09:00 - 22:00|Pazar 10.00–20.00'), (2, '')) t(i, hours)"),
     "profile_coords": (_coordinates, "SELECT i::BIGINT AS page_id, lat, lng FROM (VALUES (1, 39.9128562e0, 32.759908e0), (2, 39.9123e0, 32.7654e0), (3, 40.9911e0, 29.0281e0), (4, 41.0123e0, 28.9876e0), (5, NULL, NULL), (6, 38.1234e0, 27.4321e0)) t(i, lat, lng)"),
     "site_profile": (_profile, "SELECT 1::BIGINT AS page_id, 'Barış Pide' AS name, 'Cadde 1, Çankaya' AS address, '+90 312 111 22 33' AS phone, 39.9128e0 AS lat, 32.7599e0 AS lng"),
-    "jsonld_nodes": (lambda s, d: ops.structured(_written(s)).select("page_id", F.col("nth").cast("long").alias("nth"), F.try_variant_get("node", "$.@type", "string").alias("type")), "SELECT 1::BIGINT AS page_id, 0::BIGINT AS nth, 'Restaurant' AS type"),
+    "jsonld_nodes": (lambda s, d: ops.structured(_stocked(s, d, _written)).select("page_id", F.col("nth").cast("long").alias("nth"), F.try_variant_get("node", "$.@type", "string").alias("type")), "SELECT 1::BIGINT AS page_id, 0::BIGINT AS nth, 'Restaurant' AS type" + f" UNION ALL SELECT page_id, 0, 'Restaurant' {_ON}0"),
     "jsonld_menu": (
-        lambda s, d: ops.structured_menu(_written(s)).withColumn("ord", F.col("ord").cast("long")),
-        "SELECT 1::BIGINT AS page_id, category, ord::BIGINT AS ord, name, price, 'TRY' AS currency FROM (VALUES ('Pide', 0, 'Kıymalı', 110.5e0), ('Pide', 1, 'Peynirli', 95e0), ('Özel', 2, 'Karışık', 0e0), ('Menü', 3, 'Ayran', 20e0)) t(category, ord, name, price)",
-    ),
-    "app_json_menu": (lambda s, d: ops.embedded_menu(_menus(s)).select("page_id", "category", "name", "price"), _STATE_SQL),
+        lambda s, d: ops.structured_menu(_stocked(s, d, _written)).withColumn("ord", F.col("ord").cast("long")),
+        "SELECT 1::BIGINT AS page_id, category, ord::BIGINT AS ord, name, price, 'TRY' AS currency FROM (VALUES ('Pide', 0, 'Kıymalı', 110.5e0), ('Pide', 1, 'Peynirli', 95e0), ('Özel', 2, 'Karışık', 0e0), ('Menü', 3, 'Ayran', 20e0)) t(category, ord, name, price)" + f" UNION ALL SELECT page_id, category, CASE WHEN starts_with(name, 'Dish') THEN 0 ELSE 1 END, name, price, 'TRY' FROM ({_LD_SQL})"),
+    "app_json_menu": (lambda s, d: ops.embedded_menu(_stocked(s, d, _menus)).select("page_id", "category", "name", "price"), _STATE_SQL + f" UNION ALL {_APP_SQL}"),
     "page_menu": (
-        lambda s, d: ops.page_menu(_menus(s)).select("page_id", "category", "name", "price", "method"),
-        f"SELECT *, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 1, category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
-    ),
-    "menu_method": (lambda s, d: ops.menu_methods(ops.page_menu(_menus(s))), "SELECT i::BIGINT AS page_id, method, warnings FROM (VALUES (1, 'schema_org', '1 products without a price'), (4, 'next_data_json', NULL)) t(i, method, warnings)"),
+        lambda s, d: ops.page_menu(_stocked(s, d, _menus)).select("page_id", "category", "name", "price", "method"),
+        f"SELECT *, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 1, category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)" + f" UNION ALL SELECT *, 'schema_org' FROM ({_LD_SQL}) UNION ALL SELECT *, 'next_data_json' FROM ({_APP_SQL})"),
+    "menu_method": (lambda s, d: ops.menu_methods(ops.page_menu(_stocked(s, d, _menus))), "SELECT i::BIGINT AS page_id, method, warnings FROM (VALUES (1, 'schema_org', '1 products without a price'), (4, 'next_data_json', NULL)) t(i, method, warnings)" + f" UNION ALL SELECT page_id, 'schema_org', '1 products without a price' {_ON}0 UNION ALL SELECT page_id, 'next_data_json', NULL {_ON}1"),
     "menu_result": (
         lambda s, d: ops.menu_result(_menus(s)),
         f"SELECT 'state.example' AS venue_id, category, name, price, 'next_data_json' AS method FROM ({_STATE_SQL}) UNION ALL SELECT 'barispide.com', category, name, price, 'schema_org' FROM (VALUES ('Pide', 'Kıymalı', 110.5e0), ('Pide', 'Peynirli', 95e0), ('Özel', 'Karışık', 0e0), ('Menü', 'Ayran', 20e0)) t(category, name, price)",
@@ -128,11 +142,11 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
         lambda s, d: ops.menu_platforms(_signed(s, d)).withColumn("ordering_channels", F.array_join(F.transform("ordering_channels", lambda c: F.concat_ws(" ", c["name"], c["url"])), "|")),
         _SIGNS_SQL.format(columns=f"{_by_sign(1)} IS NOT NULL AS has_qr_menu, {_by_sign(1)} AS qr_menu_provider, {_by_sign(2)} AS qr_menu_url, {_by_sign(3)} AS ordering_channels"),
     ),
-    "qr_platform": (lambda s, d: ops.site_scan(_written(s)).select("page_id", "qr_platform"), "SELECT i::BIGINT AS page_id, q AS qr_platform FROM (VALUES (1, 'Menulux'), (2, NULL), (3, NULL)) t(i, q)"),
-    "ordering_channels": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("ordering_channels").alias("channel")), "SELECT 1::BIGINT AS page_id, 'Yemeksepeti' AS channel"),
-    "payment_methods": (lambda s, d: ops.site_scan(_written(s)).select("page_id", F.explode("payment_methods").alias("method")), "SELECT 1::BIGINT AS page_id, unnest(['Sodexo', 'Visa', 'Nakit']) AS method"),
+    "qr_platform": (lambda s, d: ops.site_scan(_stocked(s, d, _written)).select("page_id", "qr_platform"), "SELECT i::BIGINT AS page_id, q AS qr_platform FROM (VALUES (1, 'Menulux'), (2, NULL), (3, NULL)) t(i, q)" + " UNION ALL SELECT page_id + 1000, CASE WHEN page_id % 3 = 0 THEN 'Menulux' END FROM pages"),
+    "ordering_channels": (lambda s, d: ops.site_scan(_stocked(s, d, _written)).select("page_id", F.explode("ordering_channels").alias("channel")), "SELECT 1::BIGINT AS page_id, 'Yemeksepeti' AS channel" + f" UNION ALL SELECT page_id, 'UberEats' {_ON}1"),
+    "payment_methods": (lambda s, d: ops.site_scan(_stocked(s, d, _written)).select("page_id", F.explode("payment_methods").alias("method")), "SELECT 1::BIGINT AS page_id, unnest(['Sodexo', 'Visa', 'Nakit']) AS method" + f" UNION ALL SELECT page_id, unnest(['Sodexo', 'Troy']) {_ON}0 UNION ALL SELECT page_id, 'Nakit' {_ON}1"),
     "profile_name": (lambda s, d: ops.profile_names(_menus(s)), "SELECT i::BIGINT AS page_id, name FROM (VALUES (1, 'Barış Pide'), (2, NULL), (3, NULL), (4, NULL)) t(i, name)"),
-    "profile_address": (lambda s, d: ops.structured_profile(_written(s)).select("page_id", "address"), "SELECT 1::BIGINT AS page_id, 'Cadde 1, Çankaya' AS address"),
+    "profile_address": (lambda s, d: ops.structured_profile(_stocked(s, d, _written)).select("page_id", "address"), "SELECT 1::BIGINT AS page_id, 'Cadde 1, Çankaya' AS address" + f" UNION ALL SELECT page_id, 'Street ' || k || ', Town' {_ON}0"),
     "image_storage_stats": (lambda s, d: ops.image_storage(s, f"{d}/nation.parquet").select("files", (F.col("bytes") > 0).alias("filled")), "SELECT 1::BIGINT AS files, true AS filled"),
     "robots_parse": (lambda s, d: _robots(s), "SELECT 'http://a.example' AS origin, prefix, allow FROM (VALUES ('/private', false), ('/private/open', true)) t(prefix, allow)"),
     "robots_allowed": (lambda s, d: ops.robots_allowed(_paths(s), _robots(s)), "SELECT url, allowed FROM (VALUES " + ", ".join(f"('{u}', {str(i not in (0, 6)).lower()})" for i, u in enumerate(_PATHS)) + ") t(url, allowed)"),

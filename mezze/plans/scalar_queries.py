@@ -48,6 +48,22 @@ def _alone(values, **functions):
     return lambda s, d: _literals(s, values).select("i", *[f(F.col("x")).alias(n) for n, f in functions.items()])
 
 
+def _with(values, rows, **functions):
+    """Functions over the literals' column x, and over the rows (i, x) of a table, whose ids start at 1000."""
+    return lambda s, d: _literals(s, values).unionByName(rows(s, d)).select("i", *[f(F.col("x")).alias(n) for n, f in functions.items()])
+
+
+def _of_venues(said):
+    return lambda s, d: venues(s, d).select((F.col("id").cast("long") + 1000).alias("i"), said().alias("x")).filter("x IS NOT NULL")
+
+
+def _of_pages(said):
+    return lambda s, d: table(s, d, "pages").select((F.col("page_id") + 1000).alias("i"), said().alias("x"))
+
+
+_place_link = lambda: F.concat(F.lit("https://www.google.com/maps/place/"), F.replace("name", F.lit("#"), F.lit("%23")), F.lit("+Cafe/@1,2,17z/data=!3d"), F.col("location.coordinates")[1].cast("string"), F.lit("!4d"), F.col("location.coordinates")[0].cast("string"), F.lit("!16s%2Fg%2F"), F.col("id"))
+
+
 def _input(values) -> str:
     return f"WITH {_values(values)}, {LINES}, input AS (SELECT i::BIGINT AS i, x FROM literals UNION ALL SELECT page * 100000 + ord + 1000, line FROM lines)"
 
@@ -103,7 +119,7 @@ def _item_ids(s, d):
 
 def _href(s, d):
     p = scalars.place_href(F.col("x"))
-    return _literals(s, HREFS).select("i", p.alias("p")).select("i", "p.*")
+    return _literals(s, HREFS).unionByName(_of_venues(_place_link)(s, d)).select("i", p.alias("p")).select("i", "p.*")
 
 
 def _search(s, d):
@@ -114,7 +130,8 @@ def _search(s, d):
 def _links(s, d):
     base = "https://Venue.com/tr/menu/index.html?a=1"
     hrefs = ("/118/", "drinks", "../food/./", "?p=2", "#x", "//venue.com/a", "https://venue.com/b.png", "mailto:a@b.c", "https://other.com/", "https://venue.com/index.php?x=1", "https://venue.com", "", "a/b/c/../../../../../../../d", "a//b/..", "./x/y/%2E%2e#z", "HTTPS://VENUE.com:443/p", "http://venue.com:81/")
-    return _literals(s, hrefs).select("i", scalars.normalize_link(F.col("x"), F.lit(base)).alias("url"))
+    of_pages = table(s, d, "pages").select((F.col("page_id") + 1000).alias("i"), scalars.normalize_link(F.concat(F.lit("/menu/./x/../"), F.col("page_id").cast("string"), F.lit("/index.html#top")), F.col("url")).alias("url"))
+    return _literals(s, hrefs).select("i", scalars.normalize_link(F.col("x"), F.lit(base)).alias("url")).unionByName(of_pages)
 
 
 _BLOCKS = [(0, "https://x/sorry/index", 200, "", ""), (1, "https://x", 429, "", ""), (2, "https://x", 200, "Unusual traffic", ""), (3, "https://x", None, None, "<form id='captcha-form'>"), (4, "https://x", 200, "Menu", "<p>ok</p>"), (5, None, None, None, None)]
@@ -148,33 +165,34 @@ QUERIES = {
         _over(EMAILS, contact=scalars.is_contact_email),
         rf"{_input(EMAILS)} SELECT i, regexp_matches({_MAIL}, '^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}$') AND NOT regexp_matches({_MAIL}, '\.(png|jpe?g|gif|webp|svg|css|js)$') AND NOT regexp_matches({_MAIL}, '{scalars.MACHINE_DOMAINS}') AND NOT regexp_matches({_MAIL}, '{scalars.TEMPLATE_MAILBOXES}') AND NOT regexp_matches({_MAIL}, '^[0-9a-f]{{16,}}@') AND NOT regexp_matches({_MAIL}, '^(noreply|no-reply|donotreply|do-not-reply)@') AS contact FROM input",
     ),
-    "parse_address": (_alone(ADDRESSES, parts=_address), "SELECT i::BIGINT AS i, parts FROM (VALUES (0, 'İstanbul|Kadıköy|Osmanağa|34714'), (1, 'Ankara|Çankaya|Merkez|-'), (2, 'Girne|-|-|-'), (3, 'Turkey|-|-|-'), (4, '-|-|-|-'), (5, 'Ankara|-|Atatürk|06100'), (6, 'e|c|a|-'), (7, '-|-|-|12345')) t(i, parts)"),
+    "parse_address": (_with(ADDRESSES, _of_venues(lambda: F.concat(F.lit("Moda Mah., "), F.col("address.formatted"), F.lit(" Sok., 34710 "), F.col("address.district"), F.lit("/"), F.col("address.city"))), parts=_address), f"WITH {VENUES} SELECT k + 1000 AS i, city || '|' || district || '|Moda|34710' AS parts FROM venues UNION ALL SELECT i::BIGINT AS i, parts FROM (VALUES (0, 'İstanbul|Kadıköy|Osmanağa|34714'), (1, 'Ankara|Çankaya|Merkez|-'), (2, 'Girne|-|-|-'), (3, 'Turkey|-|-|-'), (4, '-|-|-|-'), (5, 'Ankara|-|Atatürk|06100'), (6, 'e|c|a|-'), (7, '-|-|-|12345')) t(i, parts)"),
     "address_components": (_components, "SELECT i::BIGINT AS i, city, district, country FROM (VALUES (0, 'İstanbul', 'Kadıköy', 'Türkiye'), (1, 'Town', 'Part', NULL), (2, 'İstanbul', 'Kadıköy', NULL), (3, NULL, NULL, NULL)) t(i, city, district, country)"),
     "hours_join": (_hours, "SELECT i::BIGINT AS i, hours FROM (VALUES (0, 'Mon: 09:00 – 22:00;Tue;: x'), (1, ''), (2, NULL)) t(i, hours)"),
     "fold_text": (_over(("İSTANBUL Iğdır", "Şefin  Seçimi!", "", "Çay-Böreği 2'li"), folded=scalars.fold_text), f"{_input(('İSTANBUL Iğdır', 'Şefin  Seçimi!', '', 'Çay-Böreği 2' + chr(39) + 'li'))} SELECT i, {_FOLD} AS folded FROM input"),
     "url_key": (lambda s, d: table(s, d, "pages").select("page_id", scalars.url_key(F.col("url")).alias("key")), "SELECT page_id, 'web_' || substr(sha1(lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', ''))), 1, 20) AS key FROM pages"),
     "ingest_urls": (
-        lambda s, d: _literals(s, URLS).select("i", scalars.ingest_url(F.col("x")).alias("u")).select("i", "u.url", "u.host"),
-        "SELECT i::BIGINT AS i, url, host FROM (VALUES (0, 'https://venue.com', 'venue.com'), (1, 'HTTPS://www.Venue.com/Menu/?a=1', 'venue.com'), (2, NULL, NULL), (3, NULL, NULL), (4, 'http://a.b/c//', 'a.b'), (5, NULL, NULL), (6, 'https://user@www.x.org:80/p#f', 'x.org')) t(i, url, host)",
+        lambda s, d: _literals(s, URLS).unionByName(_of_pages(lambda: F.concat(F.lit(" "), F.regexp_replace("url", "^https?://", "")))(s, d)).select("i", scalars.ingest_url(F.col("x")).alias("u")).select("i", "u.url", "u.host"),
+        "SELECT i::BIGINT AS i, url, host FROM (VALUES (0, 'https://venue.com', 'venue.com'), (1, 'HTTPS://www.Venue.com/Menu/?a=1', 'venue.com'), (2, NULL, NULL), (3, NULL, NULL), (4, 'http://a.b/c//', 'a.b'), (5, NULL, NULL), (6, 'https://user@www.x.org:80/p#f', 'x.org')) t(i, url, host) UNION ALL SELECT page_id + 1000, 'https://' || regexp_replace(url, '^https?://', ''), regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www[.]', '') FROM pages",
     ),
     "item_ids": (_item_ids, "SELECT p_partkey, 'item_' || substr(md5(lower(p_brand || ':' || p_name)), 1, 8) AS item_id, 'cat_' || substr(md5(p_brand), 1, 8) AS category_id FROM part"),
     "optimize_image_url": (
-        _alone(IMAGES, url=scalars.optimize_image_url),
-        f"WITH {_values(IMAGES)}, t AS (SELECT i, CASE WHEN contains(x, '_next/image') THEN url_decode(regexp_extract(x, '[?&]url=([^&#]+)', 1)) ELSE trim(x, ' ') END AS x FROM literals) SELECT i::BIGINT AS i, {_IMAGE} AS url FROM t",
+        _over(IMAGES, url=scalars.optimize_image_url),
+        f"{_input(IMAGES)}, t AS (SELECT i, CASE WHEN contains(x, '_next/image') THEN url_decode(regexp_extract(x, '[?&]url=([^&#]+)', 1)) ELSE trim(x, ' ') END AS x FROM input) SELECT i::BIGINT AS i, {_IMAGE} AS url FROM t",
     ),
     "place_href": (
         _href,
-        """SELECT i::BIGINT AS i, cid, place_id, entity_id, lat, lng, coords_precise, name FROM (VALUES
+        f"""WITH {VENUES} SELECT i::BIGINT AS i, cid, place_id, entity_id, lat, lng, coords_precise, name FROM (VALUES
   (0, '0x14cab9206d79cf0b:0x46da4e133c86ea24', NULL, '/g/11abc', 40.991179e0, 29.0281696e0, true, 'VAU COFFEE KADIKÖY'), (1, NULL, 'ChIJabc-_1', NULL, 41.01e0, 28.97e0, false, 'A B'),
-  (2, NULL, NULL, NULL, 41.5e0, 28.5e0, false, 'Only Name'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, '/m/02x', NULL, NULL, NULL, 'caf%C3%A9')) t(i, cid, place_id, entity_id, lat, lng, coords_precise, name)""",
+  (2, NULL, NULL, NULL, 41.5e0, 28.5e0, false, 'Only Name'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, '/m/02x', NULL, NULL, NULL, 'caf%C3%A9')) t(i, cid, place_id, entity_id, lat, lng, coords_precise, name)
+UNION ALL SELECT k + 1000, NULL, NULL, '/g/' || k, lat, lng, true, name || ' Cafe' FROM venues WHERE lat IS NOT NULL""",
     ),
     "place_key": (
-        lambda s, d: _literals(s, HREFS).select("i", scalars.place_key(scalars.place_href(F.col("x"))).alias("key")),
-        "SELECT i::BIGINT AS i, key FROM (VALUES (0, 'gmaps_0x14cab9206d79cf0b_0x46da4e133c86ea24'), (1, 'ChIJabc-_1'), (2, 'gmaps_only-name_41.50000_28.50000'), (3, NULL), (4, 'gmaps_m_02x')) t(i, key)",
+        lambda s, d: _literals(s, HREFS).unionByName(_of_venues(_place_link)(s, d)).select("i", scalars.place_key(scalars.place_href(F.col("x"))).alias("key")),
+        f"WITH {VENUES} SELECT i::BIGINT AS i, key FROM (VALUES (0, 'gmaps_0x14cab9206d79cf0b_0x46da4e133c86ea24'), (1, 'ChIJabc-_1'), (2, 'gmaps_only-name_41.50000_28.50000'), (3, NULL), (4, 'gmaps_m_02x')) t(i, key) UNION ALL SELECT k + 1000, 'gmaps_g_' || k FROM venues WHERE lat IS NOT NULL",
     ),
-    "clean_title": (_alone(TITLES, name=scalars.clean_title), "SELECT i::BIGINT AS i, name FROM (VALUES (0, 'Lezzet Durağı'), (1, 'Köfteci Ali'), (2, 'Menü'), (3, 'Bar Cafe'), (4, 'A'), (5, NULL), (6, NULL)) t(i, name)"),
-    "clean_url": (_alone(DIRTY, url=scalars.clean_url), "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://x.com/a'), (1, 'https://venue.com/menu'), (2, ':'), (3, 'https://y.com'), (4, 'plain+text'), (5, '%zz')) t(i, url)"),
+    "clean_title": (_with(TITLES, _of_venues(lambda: F.concat(F.lit(" "), F.col("name"), F.lit("  Bar | QR Menü"))), name=scalars.clean_title), f"WITH {VENUES} SELECT k + 1000 AS i, name || ' Bar' AS name FROM venues UNION ALL SELECT i::BIGINT AS i, name FROM (VALUES (0, 'Lezzet Durağı'), (1, 'Köfteci Ali'), (2, 'Menü'), (3, 'Bar Cafe'), (4, 'A'), (5, NULL), (6, NULL)) t(i, name)"),
+    "clean_url": (_with(DIRTY, _of_venues(lambda: F.concat(F.lit("https:\\/\\/v.exampleu002f"), F.col("id"), F.lit("?q=a%2520b+c "))), url=scalars.clean_url), f"WITH {VENUES} SELECT k + 1000 AS i, 'https://v.example/' || k || '?q=a b+c' AS url FROM venues UNION ALL SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://x.com/a'), (1, 'https://venue.com/menu'), (2, ':'), (3, 'https://y.com'), (4, 'plain+text'), (5, '%zz')) t(i, url)"),
     "search_url": (_search, f"WITH {VENUES} SELECT id, 'https://www.google.com/maps/search/' || url_encode(city || ' kafe & çay+') || '/@41.5,29.25,15z?hl=en' AS url FROM venues WHERE lng IS NOT NULL"),
-    "normalize_link": (_links, "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://venue.com/118/'), (1, 'https://venue.com/tr/menu/drinks'), (2, 'https://venue.com/tr/food/'), (3, 'https://venue.com/tr/menu/?p=2'), (4, 'https://venue.com/tr/menu/?a=1'), (5, 'https://venue.com/a'), (6, NULL), (7, NULL), (8, NULL), (9, 'https://venue.com/?x=1'), (10, 'https://venue.com/'), (11, 'https://venue.com/tr/menu/?a=1'), (12, 'https://venue.com/d'), (13, 'https://venue.com/tr/menu/a//'), (14, 'https://venue.com/tr/menu/x/'), (15, 'https://venue.com/p'), (16, NULL)) t(i, url)"),
+    "normalize_link": (_links, "SELECT i::BIGINT AS i, url FROM (VALUES (0, 'https://venue.com/118/'), (1, 'https://venue.com/tr/menu/drinks'), (2, 'https://venue.com/tr/food/'), (3, 'https://venue.com/tr/menu/?p=2'), (4, 'https://venue.com/tr/menu/?a=1'), (5, 'https://venue.com/a'), (6, NULL), (7, NULL), (8, NULL), (9, 'https://venue.com/?x=1'), (10, 'https://venue.com/'), (11, 'https://venue.com/tr/menu/?a=1'), (12, 'https://venue.com/d'), (13, 'https://venue.com/tr/menu/a//'), (14, 'https://venue.com/tr/menu/x/'), (15, 'https://venue.com/p'), (16, NULL)) t(i, url) UNION ALL SELECT page_id + 1000, regexp_extract(url, '^https?://[^/?#]+') || '/menu/' || page_id || '/' FROM pages"),
     "detect_block": (_blocked, _BLOCKED_SQL),
 }
