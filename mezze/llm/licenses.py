@@ -24,14 +24,17 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("authorisation", "authorization"), ("recognised", "recognized"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("judgement", "judgment"), ("favour", "favor"), ("behaviour", "behavior"), ("fulfil", "fulfill"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders")]
-COPYRIGHT_LINE = r"(?m)^[^\n\w]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that claims a copyright: with a mark, a year or a place for one, so that no wrapped line of a license is one.
+COPYRIGHT_LINE = r"(?m)^[^\n\w]*(copyright\b[^\n]*(\(c\)|©|[12][0-9]{3}|[<\[{])|\(c\)|©|all rights reserved)[^\n]*$"
+#: A first line that only names the license.
+TITLE = r"^[\x20\x09-\x0D]*(the )?(mit|isc|0bsd|bsd|new bsd|modified bsd|simplified bsd|zero[ -]clause bsd|[0-9]-clause bsd|(two|three)[ -]clause bsd)[a-z0-9 .\"-]{0,40}licen[sc]e( \([^\n)]{0,60}\))?:?[\x20\x09\x0B-\x0D]*\n"
 #: White space and punctuation between words.
 BETWEEN = r"\x20\x09-\x0D\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E“”‘’«»–—…"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without lines that open with a copyright mark, without punctuation, words in one spelling, one space between."""
-    spaced = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), f"[{BETWEEN}]+", "  ")
+    """Lower case, without a title line and lines that claim a copyright, without punctuation, words in one spelling, one space between."""
+    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), TITLE, ""), COPYRIGHT_LINE, ""), f"[{BETWEEN}]+", "  ")
     spaced = F.concat(F.lit("  "), spaced, F.lit("  "))
     for other, usual in SPELLINGS:
         spaced = F.replace(spaced, F.lit(" " + other.replace(" ", "  ") + " "), F.lit(" " + usual.replace(" ", "  ") + " "))
@@ -40,7 +43,7 @@ def canonical(text: Column) -> Column:
 
 def first_words(known) -> list[str]:
     """Words that a text may open with if it equals one of the catalog: theirs, and other spellings of theirs."""
-    opened = {m[0] for _, text in known if (m := re.search(f"[^{BETWEEN}]+", re.sub(COPYRIGHT_LINE, "", text.lower())))}
+    opened = {m[0] for _, text in known if (m := re.search(f"[^{BETWEEN}]+", re.sub(COPYRIGHT_LINE, "", re.sub(TITLE, "", text.lower()))))}
     return sorted(opened | {other.split(" ")[0] for other, usual in SPELLINGS if usual.split(" ")[0] in opened})
 
 

@@ -165,7 +165,7 @@ FROM f
 
 
 def _canonical(text: str) -> str:
-    c = f"'  ' || regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[{licenses.BETWEEN}]+', '  ', 'g') || '  '"
+    c = f"'  ' || regexp_replace(regexp_replace(regexp_replace(lower({text}), '{licenses.TITLE}', ''), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[{licenses.BETWEEN}]+', '  ', 'g') || '  '"
     for other, usual in licenses.SPELLINGS:
         c = f"replace({c}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
     return f"trim(replace({c}, '  ', ' '), ' ')"

@@ -367,6 +367,21 @@ def test_audio_knows_the_vbri_table():
     assert found["samples"] == clean["samples"] and found["payload"] == clean["payload"] and found["skipped"] == 0
 
 
+def test_licenses_of_any_width_under_their_titles(spark):
+    import textwrap
+
+    titles = {"MIT": "MIT License", "ISC": "ISC License (ISCL)", "0BSD": "Zero-Clause BSD License", "BSD-2-Clause": "The 2-Clause BSD License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License'}
+    rows, want = [], {}
+    for name, text in licenses.KNOWN[:5]:
+        for width in range(40, 111):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(part, width)) for part in text.split("\n\n"))
+            want[len(rows)] = name
+            rows.append((len(rows), f"{titles[name]}\n\nCopyright {width + 1900} A Person <a@b.org>\n\n{wrapped}\n" if width % 2 else f" Copyright (c) <year> <owner>. All rights reserved.\n{wrapped}"))
+    rows += [(1000, "MIT License\n"), (1001, "Released under the MIT License.\n"), (1002, "MIT License\n\nbut another text")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {1000: None, 1001: "MIT", 1002: None}
+
+
 def test_licenses_in_other_spelling(spark, docs, empty):
     mit = dict(reversed(licenses.KNOWN))["MIT"]
     isc = next(t for n, t in licenses.KNOWN if n == "ISC")
