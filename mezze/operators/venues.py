@@ -205,3 +205,11 @@ def top_counts(venues: DataFrame, column: str, name: str, most: int | None = 15)
     """The most frequent values that are not null or empty, by count and then by name; all of them without `most`."""
     counted = venues.groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n")).filter(F.col(name).isNotNull() & (F.col(name) != ""))
     return counted.orderBy(F.desc("n"), name).limit(most) if most else counted
+
+
+def contacts_by(venues: DataFrame, by: str) -> DataFrame:
+    """`by`, phone_numbers, emails: the distinct contacts of each group's venues, sorted, e-mails in lower case."""
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(name) for c, name in (("phones", "phone_numbers"), ("mails", "emails"))]
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.length(F.trim(x)) > 0)
+    rows = venues.select(F.col(by).alias("by"), some(F.col("contacts.phone_numbers")).alias("phones"), F.transform(some(F.col("contacts.emails")), lambda e: F.lower(F.trim(e))).alias("mails"))
+    return rows.groupBy("by").agg(*sets)

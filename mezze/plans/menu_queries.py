@@ -110,7 +110,7 @@ SELECT DISTINCT ord, CASE WHEN lo = hi AND page % 3 <> 0 AND page % 4 < 2 THEN '
 SELECT venue_id, count(DISTINCT m.category) AS n_categories, count(*) AS n_items, any_value(f.category) AS first_category, 'cat_' || substr(md5(any_value(f.category)), 1, 8) AS first_id, any_value(f.name) AS first_item FROM merged m JOIN first f USING (venue_id) GROUP BY venue_id""",
     ),
     "variant_from_price": (lambda s, d: ops.variants(menu_rows(s, d)), f"{_WITH} SELECT venue_id, category, name, min(price) AS price, count(DISTINCT price) AS n_variants FROM menu_rows GROUP BY ALL HAVING count(DISTINCT price) > 1"),
-    "contacts_distinct": (_sets, f"{_WITH} SELECT venue_id, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM menu_rows GROUP BY venue_id"),
+    "categories_distinct": (_sets, f"{_WITH} SELECT venue_id, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM menu_rows GROUP BY venue_id"),
     "image_plan": (
         lambda s, d: ops.image_plan(menu_rows(s, d)),
         f"{_WITH}, t AS (SELECT DISTINCT image, regexp_replace(regexp_replace(regexp_replace(image, '([?&])w=[0-9]+', '\\1w=800'), '([?&])q=[0-9]+', '\\1q=90'), '/w_[0-9]+,h_[0-9]+/', '/w_800,h_800,q_90/') AS target_url FROM menu_rows WHERE image IS NOT NULL) SELECT *, 'img_' || md5(target_url) || '.webp' AS file_name FROM t",

@@ -121,7 +121,11 @@ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transfo
         lambda s, d: _joined(ops.site_scan(_written(s)).select("page_id", "emails", "phone_numbers", "socials.instagram", "qr_platform", "ordering_channels", "payment_methods"), "emails", "phone_numbers", "ordering_channels", "payment_methods"),
         "SELECT i::BIGINT AS page_id, * EXCLUDE (i) FROM (VALUES (1, 'info@barispide.com.tr', '+903121112233', 'https://instagram.com/barispide', 'Menulux', 'Yemeksepeti', 'Sodexo|Visa|Nakit'), (2, '', '', NULL, NULL, '', ''), (3, '', '', NULL, NULL, '', '')) t(i, emails, phone_numbers, instagram, qr_platform, ordering_channels, payment_methods)",
     ),
-    "site_scan_pages": (lambda s, d: _joined(ops.site_scan(table(s, d, "pages")).drop("socials"), "emails", "phone_numbers", "ordering_channels", "payment_methods"), None),
+    "site_scan_pages": (
+        lambda s, d: _joined(ops.site_scan(_stocked(s, d, lambda s: _written(s).limit(0)).withColumn("html", F.concat("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" Info"), F.col("page_id").cast("string"), F.lit("@Venue.com.tr x@2x.png <a href='tel:0312 111 22 33'>"))).otherwise("")))).drop("socials"), "emails", "phone_numbers", "ordering_channels", "payment_methods"),
+        f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'info' || page_id || '@venue.com.tr' ELSE '' END AS emails, CASE WHEN page_id % 2 = 0 THEN '+903121112233' ELSE '' END AS phone_numbers, CASE WHEN k % 3 = 0 THEN 'Menulux' END AS qr_platform,
+CASE WHEN k % 3 = 1 THEN 'UberEats' ELSE '' END AS ordering_channels, CASE k % 3 WHEN 0 THEN 'Sodexo|Troy' WHEN 1 THEN 'Nakit' ELSE '' END AS payment_methods {_ON.replace(" WHERE k % 3 = ", "")}""",
+    ),
     "profile_hours": (lambda s, d: _joined(ops.opening_lines(_written(s).filter("html IS NOT NULL")), "hours"), "SELECT i::BIGINT AS page_id, hours FROM (VALUES (1, 'Pazartesi - Cuma: 09:00 - 22:00|Pazar 10.00–20.00'), (2, '')) t(i, hours)"),
     "profile_coords": (_coordinates, "SELECT i::BIGINT AS page_id, lat, lng FROM (VALUES (1, 39.9128562e0, 32.759908e0), (2, 39.9123e0, 32.7654e0), (3, 40.9911e0, 29.0281e0), (4, 41.0123e0, 28.9876e0), (5, NULL, NULL), (6, 38.1234e0, 27.4321e0)) t(i, lat, lng)"),
     "site_profile": (_profile, "SELECT 1::BIGINT AS page_id, 'Barış Pide' AS name, 'Cadde 1, Çankaya' AS address, '+90 312 111 22 33' AS phone, 39.9128e0 AS lat, 32.7599e0 AS lng"),

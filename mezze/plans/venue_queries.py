@@ -97,6 +97,12 @@ QUERIES = {
         lambda s, d: ops.nearby(_globe(s, d), -89.2, 179.95, radius_m=100_000).select("id", F.round("distance_m", 2).alias("metres")),
         f"{_GLOBE}, m AS (SELECT id, {_D.format(lat='-89.2e0', lng='179.95e0')} AS m FROM globe) SELECT id, round(m, 2) AS metres FROM m WHERE m <= 100000 ORDER BY m, id LIMIT 50",
     ),
+    "contacts_distinct": (
+        lambda s, d: ops.contacts_by(venues(s, d), "address.city").select(F.col("by").alias("city"), *[F.array_join(c, "|").alias(c) for c in ("phone_numbers", "emails")]),
+        f"""{_WITH}, p AS (SELECT city, string_agg(DISTINCT phone, '|' ORDER BY phone) AS phone_numbers FROM (SELECT city, unnest(phone_numbers) AS phone FROM venues) GROUP BY 1),
+e AS (SELECT city, string_agg(DISTINCT email, '|' ORDER BY email) AS emails FROM (SELECT city, lower(unnest(emails)) AS email FROM venues) GROUP BY 1)
+SELECT c.city, coalesce(phone_numbers, '') AS phone_numbers, coalesce(emails, '') AS emails FROM (SELECT DISTINCT city FROM venues) c LEFT JOIN p USING (city) LEFT JOIN e USING (city)""",
+    ),
     "within_bbox": (lambda s, d: _IDS(ops.within_bbox(venues(s, d), 30, 37, 36, 40)), _where("lng BETWEEN 30 AND 36 AND lat BETWEEN 37 AND 40 ORDER BY id LIMIT 100")),
     "within_polygon": (lambda s, d: _IDS(ops.within_polygon(venues(s, d), RING)), _polygon_sql()),
     "provider_radius": (lambda s, d: _IDS(ops.provider_radius(venues(s, d), *CENTRE, radius_m=200_000)), _where(f"lat IS NULL OR {_D.format(lat=f'{CENTRE[0]}e0', lng=f'{CENTRE[1]}e0')} <= 250000e0")),
