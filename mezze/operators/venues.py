@@ -95,7 +95,7 @@ def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
     """Great-circle metres by the haversine formula."""
     half = lambda a, b: F.pow(F.sin(F.radians(a - b) / 2), 2)
     a = half(lat2, lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng2, lng1)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_M * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # null without a place
 
 
 def around(lat0: float, lng0: float, radius_m: float) -> Column:
