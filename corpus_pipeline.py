@@ -10,24 +10,24 @@ from mezze.llm.common import saved, table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the divergence rules keep."""
+    """Documents that the divergence rules keep; null and empty texts go with those of too few words, repeated rows stay alike."""
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate; a document that had nothing else goes, n_chars follows the text."""
+    """Texts without cross-site boilerplate; a document that had nothing else goes, n_chars follows the text. Columns as they came."""
     cleaned = linedup.remove_boilerplate(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cleaned.select(columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more. Ties: the smallest doc_id; see near.keep_one for rows without one."""
     return near.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them; a null source is a source, ties go by the text's hash."""
     return mixing.draw(docs)
 
 
@@ -43,6 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage: doc_id, n_tokens, ids. Every stage is written to the shared folder and read again.
+
+    An empty table gives no rows; columns beyond those of `documents` are carried to the last stage; reruns agree.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
