@@ -14,11 +14,13 @@ from mezze.session import shipped
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and the digest of what is left of all documents; see linedup.remove_boilerplate for nulls, ties and repeated rows."""
     out = linedup.remove_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as silent audio, written, read back and indexed; a null text is an empty one, see mpeg.store_texts."""
     rows = mpeg.index_media(saved(mpeg.store_texts(table(spark, sf_dir, "documents")), "media"))
     seeks = F.sha1(F.array_join("seek_offsets", ","))
     feature = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("n_frames", "declared_frames", "n_samples", "sample_rate", "duration_us", "n_checked", "n_bad", "n_skipped")], F.concat(F.lit("seeks="), seeks))
@@ -29,6 +31,7 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the contract's own, formatted and read back; null roles and texts are empty, see chat.records_of."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -39,33 +42,40 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents; a null text has none, see bpe.encode."""
     out = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all documents; see quality.judge for nulls and languages without a reference."""
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; a null text is an empty one, see tokens.count_tokens."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; a null html is an empty payload, see warc.archive_round_trip."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents; see near.near_duplicates for nulls and rows that share a doc_id."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all texts and their lines; see licenses.scan for nulls."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document; see mixing.mix for nulls, ties and repeated rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
