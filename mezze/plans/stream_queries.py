@@ -15,13 +15,20 @@ from mezze.streaming.state import PROVIDER
 COLUMNS = ("event_id", "place_id", "host", "kind", "state", "ts")
 
 
+#: Rows of a file at most: a task reads its file's row group for the rows that it takes of it.
+FILE_ROWS = 100_000
+
+
 def replay(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
-    """A folder with the events as files in the order of time, the last with an event so late that all others are past."""
+    """A folder with the events as files in the order of time, the last with an event so late that all others are past.
+
+    There are `files` ranges of time, each a file or more.
+    """
     events = job_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select(*COLUMNS)
     none = {c: F.lit(None).cast(t) for c, t in events.dtypes}
     end = events.agg(F.max("ts").alias("last")).select(*[{"event_id": F.lit(-1).cast("long"), "state": F.lit("end"), "ts": (F.col("last") + F.make_dt_interval(days=F.lit(30)))}.get(c, none[c]).alias(c) for c in COLUMNS]).filter("ts IS NOT NULL")
     folder = scratch(spark, "job-events")
-    events.unionByName(end).repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.parquet(folder)
+    events.unionByName(end).repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     return folder
 
 
@@ -29,6 +36,8 @@ def consume(spark: SparkSession, folder: str, rows_at_a_time: int) -> DataFrame:
     """The stream of the captured events in a folder, in a session of its own, which has the state store that timers need."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # Each partition opens and commits a state store in every batch, so there are as many as run at once.
+    session.conf.set("spark.sql.shuffle.partitions", max(8, spark.sparkContext.defaultParallelism))
     session.dataSource.register(JobEvents)
     return session.readStream.format("job_events").option("path", folder).option("progress", scratch(session, "progress")).option("maxRowsPerBatch", rows_at_a_time).load()
 

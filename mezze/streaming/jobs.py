@@ -42,7 +42,6 @@ class Retries(InOrder):
     """Counts a place's failures since it was last queued or completed, and fires the retries that are not called off."""
 
     names = ("what", "event_id", "place_id", "attempt", "delay_s", "final", "due_us")
-    schema = "attempt int, due array<struct<us:long,event_id:string,place_id:string,attempt:int>>"
     first = (0, [])
 
     def step(self, value: list, event: tuple) -> list[tuple]:
@@ -83,7 +82,6 @@ class StaticOnly(InOrder):
     """Remembers a host's last failure, and the one before it for events at its very time, as long as it lives."""
 
     names = ("event_id", "static")
-    schema = "last long, before long"
     first = (None, None)
 
     def __init__(self, seconds: int):
