@@ -64,10 +64,20 @@ def due(events: DataFrame) -> DataFrame:
     return waiting.filter("anew_at IS NULL OR anew_at > due_at").select("event_id", "place_id", "attempt", "due_at")
 
 
+#: Rows of a task that looks for distinct places, so that its memory does not grow with the table.
+FAN_ROWS = 500_000
+
+
 def fan_out(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """job_id, request_id, google_place_id: one enrichment job for each place found by a discovery request."""
+    """job_id, request_id, google_place_id: one enrichment job for each place found by a discovery request.
+
+    Repeats go before the join, on the two columns that tell them, dealt by request to as many tasks as `FAN_ROWS` asks:
+    `places` is counted here. A job's id follows from its place.
+    """
     clean = F.regexp_replace("google_place_id", "[^A-Za-z0-9_-]", "_")
-    return requests.join(places, "request_id").select(clean.alias("job_id"), "request_id", "google_place_id").distinct()
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-places.count() // FAN_ROWS))
+    found = places.select("request_id", "google_place_id").repartition(tasks, "request_id").distinct()
+    return found.join(requests.select("request_id"), "request_id", "left_semi").select(clean.alias("job_id"), "request_id", "google_place_id")
 
 
 def retained(events: DataFrame, completed_s: int = 3600, failed_s: int = 86400, most: int = 500) -> DataFrame:
