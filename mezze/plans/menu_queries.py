@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from mezze.operators import menus as ops
 from mezze.operators import pages
-from mezze.plans.views import LINES, MENU_ROWS, line_stream, menu_rows, table
+from mezze.plans.views import LINES, MENU_ROWS, line_stream, menu_rows, menu_tasks, table
 
 _WITH = f"WITH {MENU_ROWS}"
 #: The test menus' priorities stand for categories; two of them play promotions.
 _RENAMED = {"1-URGENT": "Öne Çıkanlar", "5-LOW": " popular "}
 
 
+def _dealt(s, d):
+    """The menu rows, dealt to tasks of bounded rows, and how many tasks that is."""
+    n = menu_tasks(s, d)
+    return menu_rows(s, d, n), n
+
+
 def _promoted(s, d):
     name = F.col("category")
     for old, new in _RENAMED.items():
@@ -93,7 +99,7 @@ QUERIES = {
         lambda s, d: ops.heading_as_of(line_stream(s, d), F.length("line") <= 40),
         f"WITH {LINES}, h AS (SELECT *, last_value(CASE WHEN length(line) <= 40 THEN line END IGNORE NULLS) OVER (PARTITION BY page ORDER BY ord) AS heading FROM lines) SELECT page, ord, line, heading FROM h WHERE length(line) > 40",
     ),
-    "menu_merge": (lambda s, d: _SELECT(ops.merge_pages(menu_rows(s, d))), f"{_WITH}, {_MERGED} SELECT {_COLUMNS} FROM merged"),
+    "menu_merge": (lambda s, d: _SELECT(ops.merge_pages(*_dealt(s, d))), f"{_WITH}, {_MERGED} SELECT {_COLUMNS} FROM merged"),
     "menu_dedup": (
         lambda s, d: _SELECT(ops.promotion_last(_promoted(s, d))),
         f"{_WITH}, {_RENAMED_SQL} " + _FIRST.format(columns=_COLUMNS, source="renamed", keys="venue_id, lower(trim(name, ' '))", order="category IN ('Öne Çıkanlar', ' popular '), ord"),
