@@ -27,9 +27,10 @@ def _promoted(s, d):
 
 
 def _hinted(s, d):
-    items = menu_rows(s, d).withColumn("category", F.when(F.col("page") % 4 == 0, "Menü").when(F.col("page") % 4 == 1, " PRODUCTS").otherwise(F.col("category")))
+    rows, n = _dealt(s, d)
+    items = rows.withColumn("category", F.when(F.col("page") % 4 == 0, "Menü").when(F.col("page") % 4 == 1, " PRODUCTS").otherwise(F.col("category")))
     hint = F.when(F.col("page") % 3 != 0, F.concat(F.lit("Hint "), F.col("page").cast("string")))
-    return ops.named_by_hint(items.withColumn("title_hint", hint)).select("ord", "category")
+    return ops.named_by_hint(items.withColumn("title_hint", hint), n).select("ord", "category").repartition(n, "ord", "category").distinct()
 
 
 def _posts(s, d):
@@ -105,7 +106,7 @@ QUERIES = {
         f"{_WITH}, {_RENAMED_SQL} " + _FIRST.format(columns=_COLUMNS, source="renamed", keys="venue_id, lower(trim(name, ' '))", order="category IN ('Öne Çıkanlar', ' popular '), ord"),
     ),
     "menu_title_hint": (
-        lambda s, d: _hinted(s, d).distinct(),
+        _hinted,
         f"""{_WITH}, r AS (SELECT ord, page, venue_id, CASE WHEN page % 4 = 0 THEN 'Menü' WHEN page % 4 = 1 THEN ' PRODUCTS' ELSE category END AS category FROM menu_rows),
 l AS (SELECT venue_id, page, min(category) AS lo, max(category) AS hi FROM r GROUP BY ALL)
 SELECT DISTINCT ord, CASE WHEN lo = hi AND page % 3 <> 0 AND page % 4 < 2 THEN 'Hint ' || page ELSE category END AS category FROM r JOIN l USING (venue_id, page)""",
