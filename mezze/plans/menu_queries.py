@@ -23,7 +23,8 @@ def _promoted(s, d):
     name = F.col("category")
     for old, new in _RENAMED.items():
         name = F.when(F.col("category") == old, new).otherwise(name)
-    return menu_rows(s, d).withColumn("category", name)
+    rows, n = _dealt(s, d)
+    return ops.promotion_last(rows.withColumn("category", name), n)
 
 
 def _hinted(s, d):
@@ -102,7 +103,7 @@ QUERIES = {
     ),
     "menu_merge": (lambda s, d: _SELECT(ops.merge_pages(*_dealt(s, d))), f"{_WITH}, {_MERGED} SELECT {_COLUMNS} FROM merged"),
     "menu_dedup": (
-        lambda s, d: _SELECT(ops.promotion_last(_promoted(s, d))),
+        lambda s, d: _SELECT(_promoted(s, d)),
         f"{_WITH}, {_RENAMED_SQL} " + _FIRST.format(columns=_COLUMNS, source="renamed", keys="venue_id, lower(trim(name, ' '))", order="category IN ('Öne Çıkanlar', ' popular '), ord"),
     ),
     "menu_title_hint": (
