@@ -80,7 +80,8 @@ SELECT p.venue_id, nth, image_url, CASE WHEN c.name IS NOT NULL THEN coalesce(te
 
 
 def _nested(s, d):
-    n = ops.nested(ops.merge_pages(menu_rows(s, d)))
+    rows, tasks = _dealt(s, d)
+    n = ops.nested(ops.merge_pages(rows, tasks), tasks)
     first = F.col("categories")[0]
     return n.select("venue_id", F.size("categories").cast("long").alias("n_categories"), ops.item_count(F.col("categories")).alias("n_items"), first["name"].alias("first_category"), first["category_id"].alias("first_id"), first["items"][0]["name"].alias("first_item"))
 
