@@ -17,18 +17,21 @@ COLUMNS = ("event_id", "place_id", "host", "kind", "state", "ts")
 
 #: Rows of a file at most: a task reads its file's row group for the rows that it takes of it.
 FILE_ROWS = 100_000
+#: Files of a range of time, about: a task sorts and writes one range, however many events there are.
+RANGE_FILES = 10
 
 
 def replay(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
     """A folder with the events as files in the order of time, the last with an event so late that all others are past.
 
-    There are `files` ranges of time, each a file or more.
+    There are `files` ranges of time, each a file or more, and more of them where they would be long.
     """
     events = job_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select(*COLUMNS)
     none = {c: F.lit(None).cast(t) for c, t in events.dtypes}
     end = events.agg(F.max("ts").alias("last")).select(*[{"event_id": F.lit(-1).cast("long"), "state": F.lit("end"), "ts": (F.col("last") + F.make_dt_interval(days=F.lit(30)))}.get(c, none[c]).alias(c) for c in COLUMNS]).filter("ts IS NOT NULL")
     folder = scratch(spark, "job-events")
-    events.unionByName(end).repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+    ranges = max(files, -(-events.count() // (RANGE_FILES * FILE_ROWS)))
+    events.unionByName(end).repartitionByRange(ranges, "ts").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     return folder
 
 

@@ -56,7 +56,9 @@ class InOrder(StatefulProcessor):
         values = dict(json.loads(self.values.get()[0])) if self.values.exists() else {}
         out = []
         for *event, key in ready:
-            out += self.step(values.setdefault(key, json.loads(json.dumps(self.first))), tuple(event))
+            if key not in values:
+                values[key] = json.loads(json.dumps(self.first))
+            out += self.step(values[key], tuple(event))
         for value in values.values():
             out += self.until(value, passed)
         values = {key: value for key, value in values.items() if not self.done(value, passed)}
